@@ -49,18 +49,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class Hasher(dict):
-    """64-bit hash of a word; forgets its words when it holds many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 32:
-            self[word] = h
-        return h
-
-
 class Powers:
     """Powers of the base and of its inverse, as many as the longest text asked for."""
 
@@ -77,11 +65,21 @@ class Powers:
 
 
 def _sliding_argmin(g: np.ndarray, width: int) -> np.ndarray:
-    """Place of the leftmost smallest value of each run of ``width``, in blocks of bounded memory."""
-    n, out = len(g) - width + 1, []
-    for lo in range(0, n, 1 << 15):
-        part = g[lo : min(n, lo + (1 << 15)) + width - 1]
-        out.append(np.lib.stride_tricks.sliding_window_view(part, width).argmin(axis=1) + np.arange(lo, lo + len(part) - width + 1))
+    """Place of the smallest value of each run of ``width``, by its upper 48 bits, the leftmost of equals.
+
+    The lower 16 bits hold the place in a block, and minima over runs of 1, 2, 4, ... values make those over ``width``.
+    """
+    n, out, step = len(g) - width + 1, [], (1 << 16) - width
+    places = np.arange(min(len(g), 1 << 16), dtype=np.uint64)
+    for lo in range(0, n, step):
+        low = g[lo : min(n, lo + step) + width - 1] & np.uint64(0xFFFFFFFFFFFF0000)
+        low |= places[: len(low)]
+        have = 1
+        while have < width:
+            more = min(have, width - have)
+            low = np.minimum(low[: len(low) - more], low[more:])
+            have += more
+        out.append((low & np.uint64(0xFFFF)).astype(np.int64) + lo)
     return np.concatenate(out)
 
 
@@ -89,7 +87,7 @@ class Segments:
     """Segments of texts: cell (hash of the anchor's words), content (hash of all words), first window, windows."""
 
     def __init__(self, window: int = WINDOW, gram: int = GRAM):
-        self.window, self.gram, self.hash, self.powers = window, min(gram, window), Hasher(), Powers()
+        self.window, self.gram, self.powers = window, min(gram, window), Powers()
 
     def __call__(self, raw: bytes | None):
         words = raw.split() if raw else []
@@ -97,7 +95,7 @@ class Segments:
         if n < w:
             return None
         up, down = self.powers.get(n + 1)
-        h = np.fromiter(map(self.hash.__getitem__, words), np.uint64, n)
+        h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), np.uint64)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:n])])
         grams = _mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
         anchor = _sliding_argmin(grams, w - k + 1)
