@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,43 +33,86 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: Signs that are cut from a letter or digit before them; an apostrophe is none, as it can begin a token with letters.
+_SIGN, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_SIGN[list(b".,!?%&*$#;:)]|-")] = True
+_ALNUM[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+
+
+def _cut(raw: bytes) -> list[bytes]:
+    low = raw.lower()
+    data = np.frombuffer(low, np.uint8)
+    at = np.flatnonzero(_ALNUM[data[:-1]] & _SIGN[data[1:]])
+    return (np.insert(data, at + 1, 32).tobytes() if len(at) else low).split()
+
+
 class WordTokens:
-    """Ids of a whole text, put together from the ids of its words.
+    """Ids of whole texts, put together from the ids of their parts.
 
-    The tokenizer's splitter drops white space and no token spans it, so a text's ids are those of its parts between
-    ASCII white space in turn; other white space stays inside a part. Parts seen before are looked up. The table empties itself when it is full.
+    The tokenizer drops white space, lower-cases, and splits letters, digits and other signs from each other; no token spans such a split. So a text's ids
+    are those of its parts between ASCII white space in turn, which can also be cut where a sign follows a letter or digit. Parts
+    seen before are looked up in two tables, of which the older is dropped when the newer is full. New parts are encoded as one text, with a
+    sign between them whose id no other part has. Texts that hold this sign or may hold special tokens are encoded as they are.
     """
 
+    MARK = b"\x01"
+
     def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.seen, self.most = Tokenizer.from_file(path), {}, most
-
-    def __call__(self, raw: bytes) -> np.ndarray:
-        parts, seen = raw.split(), self.seen
-        fresh = [p for p in dict.fromkeys(parts) if p not in seen]
+        self.tokenizer, self.new, self.old, self.most = Tokenizer.from_file(path), {}, {}, most
+        self.mark = self._ids(self.MARK)
+
+    def _ids(self, raw: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([raw.decode(errors="replace")], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, fresh: set[bytes]) -> dict[bytes, bytes]:
+        """Adds parts to the newer table, but for very long ones, which it gives."""
+        new, old = self.new, self.old
+        long = {p: self._ids(p).tobytes() for p in fresh if len(p) > 4096}
+        new.update({p: old[p] for p in fresh if p in old})
+        want = [p for p in fresh if p not in new and p not in long]
+        if want:
+            ids = self._ids((b"\n" + self.MARK + b"\n").join(want))
+            ends = np.flatnonzero(ids == self.mark[0])
+            assert len(self.mark) == 1 and len(ends) == len(want) - 1
+            whole = ids.tobytes()
+            lows, highs = [0, *(4 * ends + 4).tolist()], [*(4 * ends).tolist(), len(whole)]
+            new.update(zip(want, [whole[a:b] for a, b in zip(lows, highs)]))
+        return long
+
+    def __call__(self, raws: list[bytes]) -> list[np.ndarray]:
+        plain = [b"<|" not in raw and self.MARK not in raw for raw in raws]
+        texts = [_cut(raw) if ok else [] for raw, ok in zip(raws, plain)]
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        seen = self.new
+        fresh = set().union(*texts).difference(seen)
         if fresh:
-            if len(seen) + len(fresh) > self.most:
-                seen.clear()
-                fresh = list(dict.fromkeys(parts))
-            if sum(map(len, fresh)) > 1 << 20:  # a very long part is not kept
-                return np.concatenate([np.array(self.tokenizer.encode(p.decode(errors="replace"), add_special_tokens=False).ids, "<u4") for p in parts])
-            for p, e in zip(fresh, self.tokenizer.encode_batch([p.decode(errors="replace") for p in fresh], add_special_tokens=False)):
-                seen[p] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([seen[p] for p in parts]), "<u4")
+            long = self._learn(fresh)
+            if long:
+                seen = seen | long
+        return [np.frombuffer(b"".join(map(seen.__getitem__, parts)), "<u4") if ok else self._ids(raw) for raw, parts, ok in zip(raws, texts, plain)]
+
+
+@lru_cache(1)
+def _tokens(path: str) -> WordTokens:
+    """One for all tasks of a worker."""
+    return WordTokens(path)
 
 
 def _pieces(path, capacity):
     def run(batches):
-        tokens = WordTokens(path)
+        tokens = _tokens(path)
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         for b in batches:
-            rows = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.append(tokens(t.as_py() or b""), np.uint32(END)).astype("<u4")
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    rows.append((i, k, at, len(part), zlib.crc32(part.tobytes())))
+            rows, ids, texts = [], b.column(0).to_pylist(), b.column(1)
+            for lo in range(0, len(ids), 32):
+                for i, got in zip(ids[lo : lo + 32], tokens([t.as_py() or b"" for t in texts[lo : lo + 32]])):
+                    got = np.append(got, np.uint32(END)).astype("<u4")
+                    for k, at in enumerate(range(0, len(got), capacity)):
+                        part = got[at : at + capacity]
+                        rows.append((i, k, at, len(part), zlib.crc32(part.tobytes())))
             if rows:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
