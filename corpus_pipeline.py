@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkkv.llm import packing, quality, simhash_dedup, source_mixing, substring_dedup
-from sparkkv.llm._common import Scratch, table
+from sparkkv.llm._common import Scratch, released, table
 
 STAGES = [
     ("quality classifier", quality.stage),
@@ -25,5 +25,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn; each result but the last is written to the shared folder and read again."""
     scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir))
+        with released():
+            docs = scratch.save(stage(spark, docs, sf_dir))
+        scratch.drop_all_but(docs)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,30 +40,54 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_made: ContextVar[list | None] = ContextVar("scratch_tables", default=None)
+
+
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no recomputation of the lineage before them."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.n = spark, f"{checkpoint_root(spark)}/llm-{uuid.uuid4().hex}", 0
-
-    def path(self) -> str:
-        self.n += 1
-        return f"{self.root}/{self.n}"
+        self.spark, self.root, self.n, self.live = spark, f"{checkpoint_root(spark)}/llm-{uuid.uuid4().hex}", 0, set()
+        if _made.get() is not None:
+            _made.get().append(self)
 
     def save(self, df: DataFrame) -> DataFrame:
-        path = self.path()
+        self.n += 1
+        path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
+        self.live.add(path)
         return out
 
+    def _delete(self, path: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        self.live.discard(path)
+
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that no later result reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in frames:
-            p = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-            p.getFileSystem(conf).delete(p, True)
+            self._delete(df.scratch_path)
+
+    def drop_all_but(self, *frames: DataFrame) -> None:
+        for path in self.live - {df.scratch_path for df in frames}:
+            self._delete(path)
+
+    def close(self) -> None:
+        self._delete(self.root)
+
+
+@contextmanager
+def released():
+    """Deletes, at its end, the tables of all operators called inside: for results that are written there."""
+    mark = _made.set([])
+    try:
+        yield
+        for scratch in _made.get():
+            scratch.close()
+    finally:
+        _made.reset(mark)
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:

@@ -6,6 +6,9 @@ bits; the mask of a nonzero vector v keeps the positions whose vector has an odd
 differing positions span at most three dimensions of four, so some v is orthogonal to all of them: its
 mask keeps none of them and the pair has equal masked values. 15 tables thus find every pair within the radius.
 
+With several prints, a text gets that many fingerprints from remixed hashes of the same shingles, and texts link if any of them do: a
+radius of 3 alone holds only texts whose shingles agree to a few hundredths, and each further print catches more of the near copies.
+
 A bucket of more than BUCKET nodes goes to the next level, where the bits that its mask left free
 are covered in the same way; after three levels at most 8 bits are free, so no bucket can be
 larger than 256. Nothing is capped or dropped, and a task holds at most BUCKET nodes at a time.
@@ -26,34 +29,54 @@ from ._common import DOCUMENT_COLUMNS, Scratch, connected_components, table
 RADIUS = 3
 SHINGLE = 3
 BUCKET = 2048
+#: Fingerprints of the pipeline stage.
+STAGE_PRINTS = 8
 _BLOCK = 1 << 16
 
 
-def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash of a whole text; 0 without words."""
+def _remix(h: np.ndarray, seed: int) -> np.ndarray:
+    """Another 64 well-spread bits from each hash; the hashes themselves for seed 0."""
+    if not seed:
+        return h
+    x = h ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints(raw: bytes | None, shingle: int = SHINGLE, prints: int = 1) -> np.ndarray:
+    """64-bit SimHashes of a whole text; 0 without words."""
     words = raw.lower().split() if raw else []
     n = len(words)
     if not n:
-        return 0
-    if n <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
-    counts, m = np.zeros(64, np.int64), n - shingle + 1
+        return np.zeros(prints, "<u8")
+    counts, m = np.zeros((prints, 64), np.int64), max(1, n - shingle + 1)
     digest = xxhash.xxh64_intdigest
     for lo in range(0, m, _BLOCK):
         part = words[lo : lo + _BLOCK + shingle - 1]
         text = b" ".join(part)
-        ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1) - 1
-        starts = [0, *(ends[: len(part) - shingle] + 1).tolist()]
-        h = np.array([digest(text[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())], "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > m, bitorder="little").view("<u8")[0])
+        if n <= shingle:
+            h = np.array([digest(text, 42)], "<u8")
+        else:
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1) - 1
+            starts = [0, *(ends[: len(part) - shingle] + 1).tolist()]
+            h = np.array([digest(text[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())], "<u8")
+        for k in range(prints):
+            counts[k] += np.unpackbits(_remix(h, k).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > m, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def _fingerprints(shingle):
+def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
+    return int(fingerprints(raw, shingle)[0])
+
+
+def _fingerprints(shingle, prints):
     def run(batches):
         for b in batches:
-            got = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+            got = [fingerprints(t.as_py(), shingle, prints) for t in b.column(1)]
+            flat = np.concatenate(got).astype("<u8").view(np.int64) if got else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * prints), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["doc_id", "fps"])
 
     return run
 
@@ -109,26 +132,30 @@ def _link_buckets(bucket):
         held_t, held_k, held_f = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
         over = None
 
-        def out(a, b, t, f):
+        def out(links, t, f):
+            a, b, of = links
             k = np.concatenate([np.zeros(len(a), np.int32), np.ones(len(f), np.int32)])
-            cols = [pa.array(k), pa.array(np.concatenate([a, f])), pa.array(np.concatenate([b, f])), pa.array(np.concatenate([np.zeros(len(a), np.int32), t]))]
+            cols = [pa.array(k), pa.array(np.concatenate([a, f])), pa.array(np.concatenate([b, f])), pa.array(np.concatenate([of, t]))]
             return pa.RecordBatch.from_arrays(cols, ["kind", "a", "b", "t"])
 
         def flush(t, k, f):
             """Whole buckets only, each of at most ``bucket`` rows."""
             if not len(f):
-                return np.empty(0, np.int64), np.empty(0, np.int64)
+                return f, f, t
             new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])]))
             size = np.diff(np.append(new, len(f)))
             two = new[size == 2]
             two = two[np.bitwise_count((f[two] ^ f[two + 1]).view(np.uint64)) <= RADIUS]
-            a, b = [f[two + 1]], [f[two]]
+            a, b, of = [f[two + 1]], [f[two]], [t[two]]
             for s, n in zip(new[size > 2].tolist(), size[size > 2].tolist()):
                 g = f[s : s + n]
                 child, parent = _local_links(g.view(np.uint64))
                 a.append(g[child])
                 b.append(g[parent])
-            return np.concatenate(a), np.concatenate(b)
+                of.append(t[s : s + len(child)])
+            return np.concatenate(a), np.concatenate(b), np.concatenate(of)
+
+        nothing = (held_f, held_f, held_t)
 
         for x in batches:
             t, k, f = (x.column(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -136,7 +163,7 @@ def _link_buckets(bucket):
             if over is not None:
                 n = int(((t == over[0]) & (k == over[1])).sum())
                 if n:
-                    yield out(t[:0].astype(np.int64), t[:0].astype(np.int64), t[:n], f[:n])
+                    yield out(nothing, t[:n], f[:n])
                     t, k, f = t[n:], k[n:], f[n:]
                 if len(f):
                     over = None
@@ -149,69 +176,74 @@ def _link_buckets(bucket):
             last = new[-1]
             whole = ~big
             whole[last:] = False
-            a, b = flush(t[whole], k[whole], f[whole])
-            yield out(a, b, t[big], f[big])
+            yield out(flush(t[whole], k[whole], f[whole]), t[big], f[big])
             if big[-1]:
                 over = (t[-1], k[-1])
                 last = len(f)
             held_t, held_k, held_f = t[last:], k[last:], f[last:]
-        a, b = flush(held_t, held_k, held_f)
-        yield out(a, b, held_t[:0], held_f[:0])
+        yield out(flush(held_t, held_k, held_f), held_t[:0], held_f[:0])
 
     return run
 
 
 def links(nodes: DataFrame, scratch: Scratch, bucket: int = BUCKET) -> DataFrame:
-    """A forest (a, b) with the connectivity of all pairs of distinct fingerprints (fp) within RADIUS."""
-    todo, found = nodes.select("fp", F.lit(0).alias("t")), None
+    """A forest (f, a, b) with the connectivity of all pairs of distinct fingerprints (f: its print, fp) within RADIUS."""
+    todo, found = nodes.select("fp", F.col("f").alias("t")), None
     for level in (1, 2, 3):
+        # table t of a level has the tables 15 t to 15 t + 14 of the next below it; the masks repeat with every print
+        small = [(i, _signed(m)) for i, m in enumerate(level_masks(level))]
         if level == 1:
-            picks = [F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(level_masks(1))]
+            picks = F.array(*[F.struct((F.col("t") * 15 + i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in small])
+            rows = todo.select("fp", F.explode(picks).alias("p")).select("p.t", "p.key", "fp")
         else:
-            fixed = F.array(*[F.lit(_signed(m)).cast("long") for m in level_masks(level)]) if level == 2 else None
-            if level == 2:
-                picks = [F.struct((F.col("t") * 15 + i).alias("t"), F.col("fp").bitwiseAND(F.element_at(fixed, F.col("t") * 15 + (i + 1))).alias("key")) for i in range(15)]
-            else:  # a table's mask is a row of a small fixed table
-                spark = nodes.sparkSession
-                small = spark.createDataFrame([(i // 15, i, _signed(m)) for i, m in enumerate(level_masks(3))], "t int, t2 int, mask long")
-                rows = todo.join(F.broadcast(small), "t").select(F.col("t2").alias("t"), F.col("fp").bitwiseAND("mask").alias("key"), "fp")
-        if level < 3:
-            rows = todo.select("fp", F.explode(F.array(*picks)).alias("p")).select("p.t", "p.key", "fp")
+            masks_ = nodes.sparkSession.createDataFrame([(i // 15, i % 15, m) for i, m in small], "place int, i int, mask long")  # 225 or 3375 rows
+            at = todo.withColumn("place", F.pmod("t", F.lit(15 ** (level - 1))))
+            rows = at.join(F.broadcast(masks_), "place").select((F.col("t") * 15 + F.col("i")).alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
         rows = rows.repartition(F.col("t"), F.col("key")).sortWithinPartitions("t", "key", "fp")
-        top = bucket if level < 3 else 1 << 9
-        got = scratch.save(rows.mapInArrow(_link_buckets(top), "kind int, a long, b long, t int"))
-        new = got.where("kind = 0").select("a", "b")
+        got = scratch.save(rows.mapInArrow(_link_buckets(bucket if level < 3 else 1 << 9), "kind int, a long, b long, t int"))
+        new = got.where("kind = 0").select(F.floor(F.col("t") / 15**level).cast("int").alias("f"), "a", "b")
         found = new if found is None else found.union(new)
-        todo = got.where("kind = 1").select(F.col("a").alias("fp"), "t")
+        todo = got.where("kind = 1").select(F.col("a").alias("fp"), "t").distinct()
         if level == 3 or todo.isEmpty():
             return found
     raise AssertionError
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET, prints: int = 1) -> DataFrame:
     """(doc_id, fingerprint, component_id), a row for every row of ``docs``.
 
     A null or empty text has no words and fingerprint 0, which links like any other. A null id takes no
     part in component_id, which is null only if all ids of a component are. Repeated rows stay.
-    Other columns of ``docs`` are not read. An empty table gives an empty result.
+    Other columns of ``docs`` are not read. An empty table gives an empty result. With several ``prints`` the first is shown.
     """
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    prints = scratch.save(texts.mapInArrow(_fingerprints(shingle), "doc_id long, fp long"))
-    nodes = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    forest = links(nodes, scratch, bucket)
-    labels = scratch.save(connected_components(forest, scratch))
+    rows = scratch.save(texts.mapInArrow(_fingerprints(shingle, prints), "doc_id long, fps array<long>").withColumn("fp", F.col("fps")[0]))
+    nodes = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    if prints == 1:
+        forest = links(nodes.select("fp", F.lit(0).alias("f")), scratch, bucket)
+    else:  # each value of a further print stands for the smallest first print beside it
+        beside = rows.select("fp", "fps").distinct().select(F.col("fp").alias("node"), F.posexplode("fps").alias("f", "fp"))
+        beside = scratch.save(beside.distinct())
+        reps = scratch.save(beside.groupBy("f", "fp").agg(F.min("node").alias("rep")))
+        same = beside.join(reps, ["f", "fp"]).select(F.col("node").alias("a"), F.col("rep").alias("b"))
+        near = links(reps, scratch, bucket).distinct()
+        one, two = (reps.select("f", F.col("fp").alias(c), F.col("rep").alias(f"{c}_rep")) for c in "ab")
+        near = near.join(one, ["f", "a"]).join(two, ["f", "b"]).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+        forest = near.union(same)
+    labels = scratch.save(connected_components(forest.select("a", "b"), scratch))
     roots = labels.join(nodes, labels["node"] == nodes["fp"]).groupBy("root").agg(F.min("first").alias("component_id"))
     member = labels.join(roots, "root").select(F.col("node").alias("fp"), "component_id")
     classes = nodes.join(member, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     classes = scratch.save(classes)
+    scratch.drop_all_but(rows, classes)
     text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return prints.join(classes, "fp").select("doc_id", text, "component_id")
+    return rows.select("doc_id", "fp").join(classes, "fp").select("doc_id", text, "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each component stays, that with the smallest id; rows without an id stay."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
+    keep = near_duplicates(docs, prints=STAGE_PRINTS).where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
     docs = docs.select(*DOCUMENT_COLUMNS)
     kept = docs.join(keep, docs["doc_id"] == keep["keep_id"], "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))

@@ -100,6 +100,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     order = Window.partitionBy("place", "slice").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     queue = scratch.save(queue.select("doc_id", "source", "size", "source_size", "target", (F.col("ahead") + F.sum("size").over(order)).alias("upto")))
     end = _end(queue, budget, cap, slices, scratch)
+    scratch.drop_all_but(queue)
     passes = F.lit(0)
     for i in range(cap):
         v = F.try_divide(F.col("upto") + F.lit(i) * F.col("source_size"), F.col("target"))

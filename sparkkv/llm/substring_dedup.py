@@ -404,7 +404,9 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram
     found = seen.select("cell", "content", F.call_function("shiftleft", ones, F.col("k")).alias("mask")).union(whole)
     found = scratch.save(found.groupBy("cell", "content").agg(F.bit_or("mask").alias("mask")))
     spans = held.join(found, ["cell", "content"]).select("doc_id", "text_hash", F.struct("first", "mask").alias("span"))
-    return scratch.save(spans.groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("spans")))
+    spans = scratch.save(spans.groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("spans")))
+    scratch.drop(held, classes, found)
+    return spans
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), with_text: bool = False, window: int = WINDOW, gram: int = GRAM, bits: int = WIDTH_BITS) -> DataFrame:

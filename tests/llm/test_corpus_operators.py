@@ -83,6 +83,19 @@ def test_simhash_equals_all_pairs(spark, data, bucket):
     assert len(got) == len(docs)
 
 
+def test_several_prints_equal_all_pairs(spark):
+    docs = near_texts(160, 8) + [(500, ""), (501, None), (502, "one two")]
+    got = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), prints=5, bucket=4).collect()}
+    prints = {i: simhash_dedup.fingerprints((t or "").encode(), prints=5) for i, t in docs}
+    assert all(int(prints[i][0]) == slow_fingerprint(t) for i, t in docs)
+    label = {i: i for i in prints}
+    for _ in docs:
+        for i in prints:
+            label[i] = min(label[j] for j in prints if (np.bitwise_count(prints[i] ^ prints[j]) <= 3).any())
+    assert got == label
+    assert len(set(label.values())) < len(components([(i, int(p[0])) for i, p in prints.items()]))
+
+
 def test_xxhash_is_sparks(spark):
     assert spark.sql("select xxhash64('a b c') h").first().h & (1 << 64) - 1 == slow_xx("a b c")
 
@@ -412,6 +425,11 @@ def test_media_features(spark):
     assert media.media_features(df.limit(0)).collect() == []
 
 
+def stage_input(spark, sf):
+    """What near-duplicate removal keeps of the whole table."""
+    return simhash_dedup.stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).collect()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -424,6 +442,8 @@ def test_pipeline(spark):
         n.append(docs.count())
     assert 700 < n[0] < 1000 and n[1] < n[0] and n[2] == n[1]
     rows = corpus_pipeline.run(spark, sf).collect()
+    texts_ = [d.text for d in stage_input(spark, sf)]
+    assert len(texts_) == len(set(texts_))
     check_packs(rows, 4096)
     assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()} and sum(r.piece == 0 for r in rows) == n[3]
 
