@@ -367,6 +367,8 @@ def shared_folder(s: SparkSession) -> str:
     """A folder that executors share: under spark.checkpoint.dir, or one of this process where none is named (tests)."""
     root = s.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not s.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         root = f"file://{tempfile.mkdtemp(prefix='store-')}"

@@ -96,7 +96,7 @@ def expiry_stream(ops: DataFrame) -> DataFrame:
                 self.handle.deleteTimer(self.state.get()[0])
                 self.state.clear()
 
-        def handleInputRows(self, key, rows, timers) -> Iterator:
+        def handleInputRows(self, key, rows, timerValues) -> Iterator:
             import pandas as pd
 
             last = None
@@ -113,10 +113,10 @@ def expiry_stream(ops: DataFrame) -> DataFrame:
                     self.handle.registerTimer(at)
             yield pd.DataFrame({"key": [], "expired_at_ms": []}).astype({"key": str, "expired_at_ms": "int64"})
 
-        def handleExpiredTimer(self, key, timers, expired) -> Iterator:
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
             import pandas as pd
 
-            at = int(expired.get_expiry_time_in_ms())
+            at = int(expiredTimerInfo.get_expiry_time_in_ms())
             self.state.clear()
             yield pd.DataFrame({"key": [key[0]], "expired_at_ms": [at]})
 
