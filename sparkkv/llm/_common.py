@@ -90,6 +90,18 @@ def released():
         _made.reset(mark)
 
 
+def most_frequent(counts: DataFrame, most: int) -> list:
+    """Rows of (key, n) with the largest n, at most ``most`` of them: all from the lowest step of n, of eight steps to a doubling, down to which they fit."""
+    step = F.floor(F.log2(F.col("n").cast("double")) * 8)
+    least, held = None, 0
+    for rung, rows in sorted(((r.rung, r["count"]) for r in counts.groupBy(step.alias("rung")).count().collect()), reverse=True):  # at most 512 rows
+        held += rows
+        if held > most:
+            break
+        least = rung
+    return [] if least is None else counts.where(step >= F.lit(least)).collect()
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long); root is the smallest node reachable.
 

@@ -23,6 +23,8 @@ ALIASES = {"system": 0, "instruction": 0, "developer": 0, "user": 1, "human": 1,
 SHAPES = ("blank", "question", "list", "code", "short", "medium", "long")
 #: Probability that a marked line is spoken by the role it names, that an unmarked line starts a turn, and that a row starts in its own role.
 MARKED, TURN, OWN = 0.98, 0.002, 0.999
+#: What the opening of a turn mark becomes inside a content: a zero-width space stands between its signs.
+BROKEN = "<\u200b|"
 _MARKER = re.compile(r"^\s*(?:<\|(\w+)\|>|\[(\w+)\]\s*:?|#{1,4}\s*(\w+)\s*:?\s*$|\*{0,2}(\w+)\*{0,2}\s*:)\s*", re.ASCII)
 _END = re.compile(r"\s*<\|(?:end|im_end|endoftext)\|>\s*$")
 
@@ -104,7 +106,7 @@ def parse(text: str | None, model: RoleModel, own: str | None = None) -> list[tu
 
 def render(turns: list[tuple[str, str]]) -> str:
     """Canonical turns; marks of turns inside a content are broken up, so that the rendering can be read back."""
-    return "".join(f"<|{r}|>\n{c.replace('<|', '<​|')}\n<|end|>\n" for r, c in turns)
+    return "".join(f"<|{r}|>\n{c.replace('<|', BROKEN)}\n<|end|>\n" for r, c in turns)
 
 
 def _shapes(batches):

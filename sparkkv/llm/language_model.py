@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, table
+from ._common import Scratch, most_frequent, table
 
 HOLD_OUT, HELD = 7, 2
 #: Most counts that are broadcast, and most bytes of a token among them.
@@ -273,15 +273,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
     counts = scratch.save(train.select("text").mapInArrow(_count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")))
     n_all, v_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     short = counts.where(F.length("token") <= HOT_BYTES)
-    level = F.floor(F.log2(F.col("n").cast("double")) * 8)
-    rungs = sorted(((r.rung, r["count"]) for r in short.groupBy(level.alias("rung")).count().collect()), reverse=True)  # at most 512 rows
-    least, held = float("inf"), 0
-    for rung, n in rungs:
-        held += n
-        if held > hot:
-            break
-        least = rung
-    frequent = short.where(level >= F.lit(least)).select("token", "n").collect() if least != float("inf") else []  # at most ``hot`` rows
+    frequent = most_frequent(short, hot)
     frequent = sorted(((bytes(r.token), r.n) for r in frequent), key=lambda r: (-r[1], r[0]))
     logs = {t: float(np.log10(n + 1)) for t, n in frequent}
     words = [(t, n) for t, n in frequent if t != END][: vocabulary - 2]

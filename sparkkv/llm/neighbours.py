@@ -19,7 +19,7 @@ from ._common import Scratch, table
 
 SAMPLE = 8_192
 PARTS = 64
-PROBES = 40
+PROBES = 44
 TOP = 20
 EVERY = 20
 GRAPH = 12

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import most_frequent, table
 
 #: (host, path, verdict); a rule fits its host and all subdomains if the url's path starts with the rule's, and the longest wins.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -129,9 +129,8 @@ def _unmarked(word: str) -> str:
 def fit(urls: DataFrame, rules=RULES, seeds=SEEDS) -> Filter:
     """urls: host, path. Word counts over all rows; training on distinct (host, path) with small hashes, about SAMPLE of them."""
     names = F.regexp_extract_all(F.lower(F.concat_ws("/", "host", "path")), F.lit(r"(\p{L}+)"), 1)
-    words = urls.select(F.explode(names).alias("word")).where(F.length("word") <= LONGEST).groupBy("word").count()
-    words = words.orderBy(F.desc("count"), "word").limit(WORDS).collect()
-    counts = {r.word: r["count"] for r in words if r["count"] > 1}
+    words = urls.select(F.explode(names).alias("word")).where(F.length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n"))
+    counts = {r.word: r.n for r in most_frequent(words.where("n > 1"), WORDS)}
     for w in seeds:
         counts[w] = max(counts.get(w, 0), 2)
     segmenter = Segmenter(counts)
