@@ -116,7 +116,7 @@ def expiry_stream(ops: DataFrame) -> DataFrame:
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
             import pandas as pd
 
-            at = int(expiredTimerInfo.get_expiry_time_in_ms())
+            at = int(expiredTimerInfo.getExpiryTimeInMs())
             self.state.clear()
             yield pd.DataFrame({"key": [key[0]], "expired_at_ms": [at]})
 
