@@ -245,7 +245,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each component stays, that with the smallest id; rows without an id stay."""
     keep = near_duplicates(docs, prints=STAGE_PRINTS).where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
     docs = docs.select(*DOCUMENT_COLUMNS)
-    kept = docs.join(keep, docs["doc_id"] == keep["keep_id"], "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(keep.hint("merge"), docs["doc_id"] == keep["keep_id"], "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
 
 

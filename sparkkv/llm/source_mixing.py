@@ -115,7 +115,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     got = got.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), F.round("passes").cast("int").alias("passes"))
     rows = docs.select(*DOCUMENT_COLUMNS, word_count(F.col("text")).alias("m_words"))
     on = rows["doc_id"].eqNullSafe(got["m_id"]) & rows["source"].eqNullSafe(got["m_source"]) & (rows["m_words"] == got["m_size"])
-    return rows.join(got, on).where("passes > 0").withColumn("m_pass", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*DOCUMENT_COLUMNS)
+    return rows.join(got.hint("merge"), on).where("passes > 0").withColumn("m_pass", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*DOCUMENT_COLUMNS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
