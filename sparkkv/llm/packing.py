@@ -116,6 +116,7 @@ def _pieces(path, capacity):
             if rows:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+        tokens.old = {}  # between tasks only the newer table stays
 
     return run
 

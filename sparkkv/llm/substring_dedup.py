@@ -139,7 +139,7 @@ def _partial_sketches(window, gram, bits, depth):
                 if got is not None:
                     cells.append(got[0])
                     held += len(got[0])
-            if held > 4_000_000:
+            if held > 1_000_000:
                 yield from rows(cells)
                 cells, held = [], 0
         if cells:
@@ -250,7 +250,7 @@ def _edge_windows(window, gram, maps):
                 fresh = []
                 for i, key in zip(hit.tolist(), zip(got[0][hit].tolist(), got[1][hit].tolist())):
                     if key not in seen:
-                        if len(seen) > 300_000:
+                        if len(seen) > 100_000:
                             seen.clear()
                         seen.add(key)
                         fresh.append(i)
