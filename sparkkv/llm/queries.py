@@ -1,4 +1,4 @@
-"""The queries of this subpackage by name. None can be put as SQL that ends in fair time over whole tables; see tests/llm."""
+"""The queries of this subpackage by name, and the SQL of the one that SQL can express; for the others see tests/llm."""
 
 from __future__ import annotations
 
@@ -29,5 +29,17 @@ def queries():
     }
 
 
+_OP7 = r"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (SELECT r, unnest(range(1, len(w) - 33)) AS i, w FROM texts WHERE len(w) >= 35),
+repeated AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY array_to_string(w[i : i + 34], ' ')) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT r, i + k AS i FROM repeated, range(35) AS t(k)),
+words AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM texts),
+kept AS (SELECT words.r, count(gone.i) AS n_removed, string_agg(CASE WHEN gone.i IS NULL THEN word END, ' ' ORDER BY words.i) AS text
+         FROM words LEFT JOIN gone ON words.r = gone.r AND words.i = gone.i GROUP BY words.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM texts LEFT JOIN kept ON texts.r = kept.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_substring_dedup": _OP7}

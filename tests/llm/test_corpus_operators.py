@@ -458,4 +458,13 @@ def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
 
 
 def test_eleven_queries():
-    assert len(queries.queries()) == 11
+    assert len(queries.queries()) == 11 and set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_substrings_equal_sql(spark, data):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{data}/documents.parquet')")
+    want = con.execute(queries.oracle_sql()["op7_substring_dedup"]).fetchall()
+    assert sorted(map(tuple, queries.queries()["op7_substring_dedup"](spark, data).collect())) == sorted(want)
