@@ -72,11 +72,15 @@ class KVStore:
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
         """(pos, key, value) for keys (pos, key) in their order; null where there is no such key; a key asked twice is given twice."""
-        return keys.select("pos", "key").join(self.pairs(), "key", "left").select("pos", "key", "value").orderBy("pos")
+        return keys.select("pos", "key").join(self._hits(keys), "key", "left").select("pos", "key", "value").orderBy("pos")
+
+    def _hits(self, keys: DataFrame) -> DataFrame:
+        """The asked entries. The keys are the side that can be broadcast, so that few keys do not make the store move."""
+        return self.pairs().join(keys.select("key").distinct(), "key", "left_semi")
 
     def exists_count(self, keys: DataFrame) -> DataFrame:
         """(found): a key asked twice counts twice."""
-        return keys.select("key").join(self.pairs().select("key"), "key", "left_semi").agg(F.count("*").alias("found"))
+        return keys.select("key").join(self._hits(keys).select("key"), "key").agg(F.count("*").alias("found"))
 
     # scans
     def range(self, low: Bound = Bound(), high: Bound = Bound()) -> DataFrame:

@@ -24,6 +24,11 @@ def _upto(ops: DataFrame, as_of_seq: int | None) -> DataFrame:
     return ops if as_of_seq is None else ops.where(F.col("seq") <= as_of_seq)
 
 
+def of_keys(ops: DataFrame, keys: DataFrame) -> DataFrame:
+    """The operations on some keys, which is all that a fold for these keys needs; few keys are broadcast, and the rest of the log does not move."""
+    return ops.join(keys.select("key").distinct(), "key", "left_semi").select(*ops.columns)
+
+
 def _last(op: str) -> Column:
     return F.coalesce(F.max(F.when(F.col("op") == op, F.col("seq"))), F.lit(-1))
 
@@ -73,6 +78,7 @@ def visible(ops: DataFrame, as_of_ms: int, as_of_seq: int | None = None) -> Data
 
 def ttl_read(keys: DataFrame, ops: DataFrame, as_of_ms: int, unit_ms: int = 1000) -> DataFrame:
     """(key, ttl) for the asked keys: -2 where there is no such key, -1 without a deadline, else whole units left."""
+    ops = of_keys(ops, keys)
     now = visible(ops, as_of_ms).select("key", F.lit(True).alias("there"))
     left = keys.select("key").join(now, "key", "left").join(ttls(ops), "key", "left")
     rest = F.floor((F.col("expires_at_ms") - as_of_ms) / unit_ms).cast("bigint")
@@ -106,12 +112,12 @@ def incr(ops: DataFrame, as_of_seq: int | None = None) -> DataFrame:
 
 def put_returning(ops: DataFrame, batch: DataFrame) -> DataFrame:
     """(key, previous): what each put of a batch (key, value) replaces; null for a new key."""
-    return batch.select("key").distinct().join(entries(ops).withColumnRenamed("value", "previous"), "key", "left")
+    return batch.select("key").distinct().join(entries(of_keys(ops, batch)).withColumnRenamed("value", "previous"), "key", "left")
 
 
 def delete_count(ops: DataFrame, keys: DataFrame) -> DataFrame:
     """(removed): how many of the asked keys are there."""
-    return entries(ops).join(keys.select("key").distinct(), "key", "left_semi").agg(F.count("*").alias("removed"))
+    return entries(of_keys(ops, keys)).agg(F.count("*").alias("removed"))
 
 
 def changes(ops: DataFrame, since: int) -> DataFrame:

@@ -103,6 +103,16 @@ def test_text_key_reaches_the_scan(spark, data):
         TextKey("o_orderkey", "", 2).check(table)
 
 
+def test_few_keys_do_not_shuffle_the_store(spark, data):
+    store = KVStore.over(spark.read.parquet(f"{data}/orders.parquet"), StoreSpec("o_orderkey", "o_totalprice"))
+    keys = spark.createDataFrame([(0, 7), (1, 7), (2, -1)], "pos int, key long")
+    got = store.multi_get(keys)
+    assert [(r.pos, r.key, r.value is None) for r in got.collect()] == [(0, 7, False), (1, 7, False), (2, -1, True)]
+    assert store.exists_count(keys).first().found == 2
+    plan = store._hits(keys)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_conditions(spark):
     store = KVStore(frame(spark, USERS + [("q", '"Alice"')]))
     keys = lambda c: sorted(r.key for r in store.filter(c).pairs().collect())
