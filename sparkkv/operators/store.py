@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..plans.predicates import Columns, Condition, to_column
-from ..sources.adapters import StoreSpec, TextKey
+from ..sources.adapters import StoreSpec, TextKey, few
 
 #: Most keys that a pattern scan gives before it refuses (fixed value).
 KEYS_CAP = 10_000
@@ -75,8 +75,8 @@ class KVStore:
         return keys.select("pos", "key").join(self._hits(keys), "key", "left").select("pos", "key", "value").orderBy("pos")
 
     def _hits(self, keys: DataFrame) -> DataFrame:
-        """The asked entries. The keys are the side that can be broadcast, so that few keys do not make the store move."""
-        return self.pairs().join(keys.select("key").distinct(), "key", "left_semi")
+        """The asked entries; few keys do not make the store move."""
+        return self.pairs().join(few(keys), "key", "left_semi")
 
     def exists_count(self, keys: DataFrame) -> DataFrame:
         """(found): a key asked twice counts twice."""

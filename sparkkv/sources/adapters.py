@@ -46,6 +46,16 @@ class StoreSpec:
         return df.select(F.col(self.key).alias("key"), F.col(self.value).alias("value"))
 
 
+#: Most rows of a frame of keys that is broadcast.
+FEW = 100_000
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """Distinct keys, to be broadcast if there are at most FEW of them, which is counted first; more of them join by a shuffle."""
+    keys = keys.select("key").distinct()
+    return F.broadcast(keys) if keys.limit(FEW + 1).count() <= FEW else keys
+
+
 KEY_KINDS = (T.StringType, T.BinaryType, T.LongType, T.IntegerType, T.DecimalType)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .adapters import few
 
 SCHEMA = "seq bigint, op string, key string, value string, tag bigint, expires_at_ms bigint"
 KINDS = ("put", "delete", "tag", "untag", "ttl_set", "ttl_remove", "incr")
@@ -25,8 +26,8 @@ def _upto(ops: DataFrame, as_of_seq: int | None) -> DataFrame:
 
 
 def of_keys(ops: DataFrame, keys: DataFrame) -> DataFrame:
-    """The operations on some keys, which is all that a fold for these keys needs; few keys are broadcast, and the rest of the log does not move."""
-    return ops.join(keys.select("key").distinct(), "key", "left_semi").select(*ops.columns)
+    """The operations on some keys, which is all that a fold for these keys needs; few keys do not make the log move."""
+    return ops.join(few(keys), "key", "left_semi").select(*ops.columns)
 
 
 def _last(op: str) -> Column:
