@@ -11,6 +11,7 @@ The counts of frequent tokens (at most HOT) are broadcast. The other tokens meet
 from __future__ import annotations
 
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -217,10 +218,13 @@ def _sample(vocabulary, most):
 
 
 class Model:
-    """What scoring tasks need: the network, its vocabulary, and the counts of frequent tokens as log10(c + 1)."""
+    """What scoring tasks need: the network, and for each frequent token its place in two arrays, log10(c + 1) and the network's id."""
 
-    def __init__(self, network, ids, logs):
-        self.network, self.ids, self.logs = network, ids, logs
+    def __init__(self, network, ids, frequent):
+        self.network = network
+        self.place = {t: i for i, (t, _) in enumerate(frequent)}
+        self.logs = np.log10(np.array([n for _, n in frequent] + [0], float) + 1)  # the last stands for tokens without a place
+        self.ids = np.array([ids.get(t, 1) for t, _ in frequent] + [1], np.int32)
 
 
 def _score(model):
@@ -228,7 +232,7 @@ def _score(model):
 
     def run(batches):
         m = model.value
-        logs, ids = m.logs, m.ids
+        find = m.place.get
         names = ["doc_id", "text_hash", "held_out", "n_tokens", "n_hot", "sum_hot", "n_other", "other_hot", "network", "rare", "times"]
         held, docs = [], []
 
@@ -243,12 +247,14 @@ def _score(model):
         for b in batches:
             for i, h, out_, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
                 words = tokens(t.as_py())
-                rare: Counter = Counter(w for w in words if w not in logs)
-                known = [logs[w] for w in words if w in logs] if rare else [logs[w] for w in words]
-                seq = _ids(words, ids)
-                other = [w for w, x in zip(words, (seq == 1).tolist()) if x]
-                held.append((i, h, out_, len(words), len(known), float(np.sum(known)), len(other), float(sum(logs.get(w, 0.0) for w in other)), list(rare), list(rare.values())))
-                docs.append(seq.astype(np.int32))
+                at = np.fromiter(map(find, words, repeat(-1)), np.int64, len(words))
+                unplaced = np.flatnonzero(at < 0).tolist()
+                rare: Counter = Counter([words[k] for k in unplaced])
+                seq, logs = m.ids[at], m.logs[at]
+                seq[-1] = 0  # the end, frequent or not
+                other = seq == 1
+                held.append((i, h, out_, len(words), len(words) - len(unplaced), float(logs.sum()), int(other.sum()), float(logs[other].sum()), list(rare), list(rare.values())))
+                docs.append(seq)
                 pooled += len(words)
                 if len(docs) >= POOL_DOCS or pooled >= POOL_TOKENS:
                     yield out()
@@ -275,7 +281,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
     short = counts.where(F.length("token") <= HOT_BYTES)
     frequent = most_frequent(short, hot)
     frequent = sorted(((bytes(r.token), r.n) for r in frequent), key=lambda r: (-r[1], r[0]))
-    logs = {t: float(np.log10(n + 1)) for t, n in frequent}
     words = [(t, n) for t, n in frequent if t != END][: vocabulary - 2]
     ends = train.count()
     other = n_all - ends - sum(n for _, n in words)
@@ -291,7 +296,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
         streams = [np.concatenate([[0], np.frombuffer(s, "<u2")]).astype(np.int64) for s in streams if s]
         if streams:
             network.train(streams, steps)
-    model = spark.sparkContext.broadcast(Model(network, ids, logs))
+    model = spark.sparkContext.broadcast(Model(network, ids, frequent))
     base = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "held_out", "text")
     kinds = "doc_id long, text_hash long, held_out boolean, n_tokens long, n_hot long, sum_hot double, n_other long, other_hot double, network double, rare array<binary>, times array<int>"
     part = scratch.save(base.mapInArrow(_score(model), kinds))
