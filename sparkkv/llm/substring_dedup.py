@@ -424,7 +424,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans = repeated_spans(base, scratch, window, gram, bits)
     spans = spans.select(F.col("doc_id").alias("span_id"), F.col("text_hash").alias("span_hash"), "spans")
     on = base["text_hash"].eqNullSafe(spans["span_hash"]) & base["doc_id"].eqNullSafe(spans["span_id"])
-    both = base.join(spans.hint("merge"), on, "left")  # the spans grow with the texts: one plan at every size.select("doc_id", *carry, "text", "spans")
+    # the spans grow with the texts: one plan at every size
+    both = base.join(spans.hint("merge"), on, "left").select("doc_id", *carry, "text", "spans")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields[:-2])
     last = "kept binary" if with_text else "kept_sha256 string"
     return both.mapInArrow(_cut(window, with_text), f"{kinds}, n_words long, n_removed long, {last}")

@@ -467,4 +467,5 @@ def test_substrings_equal_sql(spark, data):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{data}/documents.parquet')")
     want = con.execute(queries.oracle_sql()["op7_substring_dedup"]).fetchall()
-    assert sorted(map(tuple, queries.queries()["op7_substring_dedup"](spark, data).collect())) == sorted(want)
+    got = queries.queries()["op7_substring_dedup"](spark, data)
+    assert got.columns == ["doc_id", "n_words", "n_removed", "kept_sha256"] and sorted(map(tuple, got.collect())) == sorted(want)
