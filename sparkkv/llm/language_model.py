@@ -2,19 +2,24 @@
 
 Counts of all training tokens are gathered from the whole corpus. The most frequent tokens are the model's vocabulary, the rest are one symbol
 whose probability is shared out by smoothed counts, so the model gives every text a proper probability. It is trained by backpropagation
-through windows of WINDOW tokens, with the state carried on, on a bounded sample of training documents. Scoring runs the documents of a
-task side by side, window after window, and carries each document's state from its first to its last token.
+through windows of WINDOW tokens, with the state carried on: first, on the driver, on a bounded sample of training documents, then on all of them.
+In each of ROUNDS rounds every task runs once over its share of a part of the documents, starting from the same weights, and the tasks' weights
+are averaged by their tokens. Every token of every training document is learnt from once in the rounds. A task lays its documents end to
+end and cuts them into lanes, so a document across the start of a lane begins there with a new state.
+Scoring runs the documents of a task side by side, window after window, and carries each document's state from its first to its last token.
 
 The counts of frequent tokens (at most HOT) are broadcast. The other tokens meet their counts in a join.
 """
 
 from __future__ import annotations
 
+import copy
 from collections import Counter
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +34,12 @@ UNITS = 32
 WINDOW = 32
 STREAMS = 64
 STEPS = 1_500
-#: Documents that the network is trained on, about, and most tokens of one.
+#: Documents that the network starts on, about, and most tokens of one.
 TRAIN_DOCS, TRAIN_TOKENS = 2_000, 20_000
+#: Passes over a share each of all training documents, their first rate, streams side by side, and tokens that a task lays end to end.
+ROUNDS, RATE, LANES, LEARN_TOKENS = 3, 0.004, 256, 1_000_000
+#: Tasks that sum the tasks' weights, so that as many rows at most come to the driver.
+SLOTS = 32
 #: Documents and tokens that a task runs side by side.
 POOL_DOCS, POOL_TOKENS = 3_000, 3_000_000
 #: The end of a text, as a token; no word is empty.
@@ -47,6 +56,24 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
+class Adam:
+    """Steps on the parameters p, in place; a gradient longer than 1 takes a smaller one."""
+
+    def __init__(self, p: dict):
+        self.p, self.n = p, 0
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+
+    def step(self, grads: dict, rate: float) -> None:
+        self.n += 1
+        norm = np.sqrt(sum(float((v * v).sum()) for v in grads.values()))
+        rate = float(rate / max(norm, 1.0)) / (1 - 0.9**self.n)
+        for k, v in grads.items():
+            self.first[k] += 0.1 * (v - self.first[k])
+            v *= v
+            self.second[k] += 0.01 * (v - self.second[k])
+            self.p[k] -= rate * self.first[k] / (np.sqrt(self.second[k] / (1 - 0.99**self.n)) + 1e-8)
+
+
 class Network:
     """ids: 0 the end (also what stands before a text), 1 the symbol for other tokens, then words by frequency."""
 
@@ -66,86 +93,138 @@ class Network:
         share = np.array([counts[lo:hi].sum() for lo, hi in zip(self.edges[:-1], self.edges[1:])], float)
         self.p |= {"C": draw(g, c, scale=0.1), "c": np.log(np.maximum(share, 1)).astype(np.float32), "O": draw(self.size, g, scale=0.1), "o": np.log(np.maximum(counts, 1)).astype(np.float32)}
 
+    def packed(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in self.p.values()])
+
+    def unpack(self, flat: np.ndarray) -> None:
+        at = 0
+        for k, v in self.p.items():
+            self.p[k] = flat[at : at + v.size].reshape(v.shape).copy()
+            at += v.size
+
     def _loss(self, h: np.ndarray, goal: np.ndarray, grads: dict | None = None):
         """Log-likelihood of each goal; with grads also the gradient of h, for the mean of the negative."""
         p, n = self.p, len(h)
-        s = h @ p["C"] + p["c"]
+        s = h @ p["C"]
+        s += p["c"]
         s -= s.max(axis=1, keepdims=True)
-        e = np.exp(s)
-        total = e.sum(axis=1, keepdims=True)
         label, rows = self.label[goal], np.arange(n)
-        out = s[rows, label] - np.log(total[:, 0])
+        out = s[rows, label]
+        e = np.exp(s, out=s)
+        total = e.sum(axis=1, keepdims=True)
+        out -= np.log(total[:, 0])
+        order = np.argsort(label.astype(np.uint16), kind="stable")
         if grads is not None:
-            d = e / total
-            d[rows, label] -= 1
-            d /= n
-            grads["C"], grads["c"], dh = h.T @ d, d.sum(axis=0), d @ p["C"].T
-        order = np.argsort(label, kind="stable")
-        cuts = np.searchsorted(label[order], np.arange(len(self.edges)))
+            e *= 1 / (total * n)
+            e[rows, label] -= 1 / n
+            grads["C"], grads["c"], dh = h.T @ e, e.sum(axis=0), e @ p["C"].T
+            back = np.zeros_like(dh)
+        cuts = np.searchsorted(label[order], np.arange(len(self.edges))).tolist()
+        xs, goals, inner = h[order], goal[order], np.zeros_like(out)
         for c, (lo, hi) in enumerate(zip(self.edges[:-1].tolist(), self.edges[1:].tolist())):
-            at = order[cuts[c] : cuts[c + 1]]
-            if not len(at) or hi - lo == 1:
+            first, last = cuts[c], cuts[c + 1]
+            if first == last or hi - lo == 1:
                 continue
-            x = h[at]
-            s = x @ p["O"][lo:hi].T + p["o"][lo:hi]
+            x = xs[first:last]
+            s = x @ p["O"][lo:hi].T
+            s += p["o"][lo:hi]
             s -= s.max(axis=1, keepdims=True)
-            e = np.exp(s)
+            own, here = goals[first:last] - lo, rows[: last - first]
+            inner[first:last] = s[here, own]
+            e = np.exp(s, out=s)
             total = e.sum(axis=1, keepdims=True)
-            own, here = goal[at] - lo, np.arange(len(at))
-            out[at] += s[here, own] - np.log(total[:, 0])
+            inner[first:last] -= np.log(total[:, 0])
             if grads is not None:
-                d = e / total
-                d[here, own] -= 1
-                d /= n
-                grads["O"][lo:hi] += d.T @ x
-                grads["o"][lo:hi] += d.sum(axis=0)
-                dh[at] += d @ p["O"][lo:hi]
+                e *= 1 / (total * n)
+                e[here, own] -= 1 / n
+                grads["O"][lo:hi] += e.T @ x
+                grads["o"][lo:hi] += e.sum(axis=0)
+                np.matmul(e, p["O"][lo:hi], out=back[first:last])
+        out[order] += inner
+        if grads is not None:
+            dh[order] += back
         return (out, dh) if grads is not None else out
 
+    def _window(self, ids: np.ndarray, h: np.ndarray):
+        """Log-likelihoods, gradients of the mean of the negative, and the states after a window; ids: a row for every stream, one token more than the window."""
+        p, g = self.p, self.p["U"].shape[0]
+        x, goal = ids[:, :-1].T, ids[:, 1:].T
+        keep = (x != 0).astype(np.float32)
+        grads = {k: np.zeros_like(v) for k, v in p.items()}
+        e = p["E"][x]
+        a = np.matmul(p["W"].T, e.transpose(0, 2, 1)) + p["b"][:, None]  # units before streams, so that the gates are contiguous
+        h0s, zrs, us, ns, hs = (np.empty((len(x), k, len(ids)), np.float32) for k in (g, 2 * g, g, g, g))
+        back, h = p["U"].T.copy(), h.T
+        for t in range(len(x)):
+            h0 = np.multiply(h, keep[t], out=h0s[t])
+            u = back @ h0
+            zr = np.add(a[t, : 2 * g], u[: 2 * g], out=zrs[t])
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            us[t] = u[2 * g :]
+            n = np.multiply(zr[g:], us[t], out=ns[t])
+            n += a[t, 2 * g :]
+            np.tanh(n, out=n)
+            h = np.subtract(h0, n, out=hs[t])
+            h *= zr[:g]
+            h += n
+        h = h.T
+        ll, dhs = self._loss(hs.transpose(0, 2, 1).reshape(-1, g), goal.ravel(), grads)
+        dhs = np.ascontiguousarray(dhs.reshape(len(x), -1, g).transpose(0, 2, 1))
+        d, das, dus = np.zeros_like(dhs[0]), np.empty_like(a), np.empty_like(a)
+        for t in reversed(range(len(x))):
+            z, r, n = zrs[t, :g], zrs[t, g:], ns[t]
+            d += dhs[t]
+            dz = d * z
+            dn = np.subtract(d, dz, out=das[t, 2 * g :])
+            dn *= 1 - n * n
+            np.multiply(dz * (1 - z), h0s[t] - n, out=das[t, :g])
+            dr = np.multiply(dn, r, out=dus[t, 2 * g :])
+            np.multiply(dr * (1 - r), us[t], out=das[t, g : 2 * g])
+            dus[t, : 2 * g] = das[t, : 2 * g]
+            d = p["U"] @ dus[t]
+            d += dz
+            d *= keep[t]
+        grads["W"], grads["b"] = np.matmul(das, e).sum(axis=0).T, das.sum(axis=(0, 2))
+        grads["U"] = np.matmul(h0s, dus.transpose(0, 2, 1)).sum(axis=0)
+        de = np.matmul(das.transpose(0, 2, 1), p["W"].T).reshape(-1, g)
+        order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
+        seen = x.ravel()[order]
+        cuts = np.flatnonzero(np.diff(seen, prepend=-1))
+        grads["E"][seen[cuts]] = np.add.reduceat(de[order], cuts)
+        return ll, grads, h
+
     def train(self, streams: list[np.ndarray], steps: int = STEPS, window: int = WINDOW, rate: float = 0.01) -> list[float]:
         """Adam on windows of all streams side by side; a stream starts again at its end, and the state is new after an end token."""
-        p, g = self.p, self.p["U"].shape[0]
-        first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-        h, losses = np.zeros((len(streams), g), np.float32), []
+        adam, h, losses = Adam(self.p), np.zeros((len(streams), self.p["U"].shape[0]), np.float32), []
         for step in range(steps):
-            at = (np.arange(window + 1) + step * window)[None, :]
-            ids = np.stack([s[(at[0]) % len(s)] for s in streams])
-            x, goal = ids[:, :-1], ids[:, 1:]
-            saved, hs = [], np.empty((window, *h.shape), np.float32)
-            for t in range(window):
-                h0 = h * (x[:, t] != 0)[:, None]
-                e = p["E"][x[:, t]]
-                a, u = e @ p["W"] + p["b"], h0 @ p["U"]
-                z, r = _sigmoid(a[:, :g] + u[:, :g]), _sigmoid(a[:, g : 2 * g] + u[:, g : 2 * g])
-                n = np.tanh(a[:, 2 * g :] + r * u[:, 2 * g :])
-                h = n + z * (h0 - n)
-                hs[t] = h
-                saved.append((h0, e, u[:, 2 * g :], z, r, n))
-            grads = {k: np.zeros_like(v) for k, v in p.items()}
-            ll, dhs = self._loss(hs.reshape(-1, g), goal.T.ravel(), grads)
+            at = np.arange(window + 1) + step * window
+            ll, grads, h = self._window(np.stack([s[at % len(s)] for s in streams]), h)
             losses.append(-float(ll.mean()))
-            dhs, d = dhs.reshape(hs.shape), np.zeros_like(h)
-            for t in reversed(range(window)):
-                h0, e, u, z, r, n = saved[t]
-                d = d + dhs[t]
-                dn = d * (1 - z) * (1 - n * n)
-                dz = d * (h0 - n) * z * (1 - z)
-                dr = dn * u * r * (1 - r)
-                da, du = np.hstack([dz, dr, dn]), np.hstack([dz, dr, dn * r])
-                grads["W"] += e.T @ da
-                grads["b"] += da.sum(axis=0)
-                grads["U"] += h0.T @ du
-                np.add.at(grads["E"], x[:, t], da @ p["W"].T)
-                d = (d * z + du @ p["U"].T) * (x[:, t] != 0)[:, None]
-            norm = np.sqrt(sum(float((v * v).sum()) for v in grads.values()))
-            lr = rate * min(1.0, 1 / max(norm, 1e-9)) if norm > 1 else rate
-            lr *= 1 - 0.9 * step / steps
-            for k, v in grads.items():
-                first[k] += 0.1 * (v - first[k])
-                second[k] += 0.01 * (v * v - second[k])
-                p[k] -= lr * (first[k] / (1 - 0.9 ** (step + 1))) / (np.sqrt(second[k] / (1 - 0.99 ** (step + 1))) + 1e-8)
+            adam.step(grads, rate * (1 - 0.9 * step / steps))
         return losses
 
+    def learn(self, flat: np.ndarray, adam: Adam, rate: float, lanes: int = LANES, window: int = WINDOW) -> int:
+        """One pass over texts laid end to end after an end token: every token is a goal once. Returns their number.
+
+        The sequence is cut into lanes that run side by side, each with its state carried from window to window; smaller windows at the ends take smaller steps.
+        """
+        done = 0
+        while done < len(flat) - 1:
+            left = len(flat) - 1 - done
+            n = min(lanes, max(1, left // window))
+            size = left // n
+            ids = flat[done + np.arange(n)[:, None] * size + np.arange(size + 1)]
+            h = np.zeros((n, self.p["U"].shape[0]), np.float32)
+            for lo in range(0, size, window):
+                part = ids[:, lo : lo + window + 1]
+                _, grads, h = self._window(part, h)
+                adam.step(grads, rate * n * (part.shape[1] - 1) / (lanes * window))
+            done += n * size
+        return done
+
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each whole document (ids, the end last)."""
         out = np.zeros(len(docs))
@@ -217,6 +296,56 @@ def _sample(vocabulary, most):
     return run
 
 
+def _learn(state, rate):
+    """A row for a task: (slot, task, tokens, weights) after one pass over its texts."""
+
+    def run(batches):
+        network, ids = state.value
+        network = copy.deepcopy(network)
+        adam, held, pooled, done = Adam(network.p), [np.zeros(1, np.int64)], 0, 0
+        for b in batches:
+            for t in b.column(0):
+                held.append(_ids(tokens(t.as_py()), ids))
+                pooled += len(held[-1])
+                if pooled >= LEARN_TOKENS:
+                    done += network.learn(np.concatenate(held), adam, rate)
+                    held, pooled = held[:1], 0
+        if pooled:
+            done += network.learn(np.concatenate(held), adam, rate)
+        if done:
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([task % SLOTS], pa.int32()), pa.array([task], pa.int32()), pa.array([done], pa.int64()), pa.array([network.packed().tobytes()], pa.binary())], ["slot", "task", "tokens", "weights"])
+
+    return run
+
+
+def _mean(batches):
+    """Of the rows of a partition, weighted by their tokens."""
+    tokens_, total = 0, 0.0
+    for b in batches:
+        for n, w in zip(b.column(2).to_pylist(), b.column(3)):
+            tokens_, total = tokens_ + n, total + n * np.frombuffer(w.as_buffer(), np.float32).astype(float)
+    if tokens_:
+        yield pa.RecordBatch.from_arrays([pa.array([tokens_], pa.int64()), pa.array([(total / tokens_).astype(np.float32).tobytes()], pa.binary())], ["tokens", "weights"])
+
+
+def learn_all(network: Network, train: DataFrame, ids: dict, rounds: int = ROUNDS) -> int:
+    """Trains on all texts of ``train`` (doc_id, text), each in one of the rounds: every task runs over its share, then the tasks' weights are averaged. Returns the tokens learnt from."""
+    context, done = train.sparkSession.sparkContext, 0
+    of = F.pmod(F.xxhash64("text", "doc_id"), F.lit(rounds))
+    for k in range(rounds):
+        state = context.broadcast((network, ids))
+        part = train.where(of == k).select("text").mapInArrow(_learn(state, RATE * (1 - k / rounds)), "slot int, task int, tokens long, weights binary")
+        part = part.repartition(SLOTS, "slot").sortWithinPartitions("slot", "task").mapInArrow(_mean, "tokens long, weights binary")
+        got = sorted((r.tokens, bytes(r.weights)) for r in part.collect())
+        n = sum(t for t, _ in got)
+        if n:
+            network.unpack((sum(t * np.frombuffer(w, np.float32).astype(float) for t, w in got) / n).astype(np.float32))
+        done += n
+        state.unpersist()
+    return done
+
+
 class Model:
     """What scoring tasks need: the network, and for each frequent token its place in two arrays, log10(c + 1) and the network's id."""
 
@@ -272,6 +401,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
     Without training rows the model is the baseline. Other columns are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    spark.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")  # Python workers: small products gain nothing from threads that wait for each other
     scratch = Scratch(spark)
     out = F.crc32(F.col(id_col).cast("string").cast("binary")) % HOLD_OUT == HELD
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(out, F.lit(False)).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
@@ -296,6 +426,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
         streams = [np.concatenate([[0], np.frombuffer(s, "<u2")]).astype(np.int64) for s in streams if s]
         if streams:
             network.train(streams, steps)
+        learn_all(network, train.select("doc_id", "text"), ids)
     model = spark.sparkContext.broadcast(Model(network, ids, frequent))
     base = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "held_out", "text")
     kinds = "doc_id long, text_hash long, held_out boolean, n_tokens long, n_hot long, sum_hot double, n_other long, other_hot double, network double, rare array<binary>, times array<int>"

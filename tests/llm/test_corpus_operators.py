@@ -375,6 +375,32 @@ def test_language_model(spark):
     assert language_model.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_language_model_learns_from_long_documents(spark):
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    i = next(i for i in range(60) if i not in held)
+    rows = [(i, "a b c d e f " * 20_000)] + [(k, "a b c d e f " * 5) for k in held[:3]]
+    got = [r for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary=20, steps=50).collect() if r.held_out]
+    assert len(got) == 3 and all(r.score > 0.7 * r.base_score for r in got)  # the words follow each other; the baseline sees six equally frequent ones
+
+
+def test_every_token_is_learnt_from_once(spark):
+    seen = Counter()
+
+    class Watched(language_model.Network):
+        def _window(self, ids, h):
+            seen.update(ids[:, 1:].ravel().tolist())
+            return super()._window(ids, h)
+
+    net, rng = Watched(np.full(500, 5.0), units=4, classes=5), np.random.default_rng(2)
+    for n in (1, 2, 31, 33, 1_000, 9_001):
+        flat, before = rng.integers(0, 500, n), seen.copy()
+        assert net.learn(flat, language_model.Adam(net.p), 0.01, lanes=16, window=8) == n - 1
+        assert seen - before == Counter(flat[1:].tolist())
+    docs = [(k, "x " * n) for k, n in enumerate((0, 1, 5, 300, 70_000))] + [(None, None), (9, "x y"), (9, "x y")]
+    net = language_model.Network(np.array([8.0, 1, 5, 5]))
+    assert language_model.learn_all(net, spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "cast(text as binary) text"), {b"": 0, b"x": 2, b"y": 3}) == sum(len((t or "").split()) + 1 for _, t in docs)
+
+
 def test_network_is_a_distribution_and_its_gradient_is_right():
     rng = np.random.default_rng(0)
     net = language_model.Network(rng.integers(1, 90, 23).astype(float), units=5, classes=4)
