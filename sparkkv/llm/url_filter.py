@@ -1,7 +1,7 @@
 """URL filter: rules first, then naive Bayes over the words of host and path.
 
-Names run together are split by a unigram model: the Viterbi path through the letters with the most probable words. Word frequencies
-are counted over all urls. The classifier is multinomial naive Bayes; its training urls are a bounded sample of distinct
+Names run together are split by a unigram model: the Viterbi path through the letters with the most probable words. A word's frequency
+is its number of hosts, over all urls, and names that are more frequent words run together count as those words. The classifier is multinomial naive Bayes; its training urls are a bounded sample of distinct
 hosts and paths, labelled by whether a name that is delimited by the writer, or a segmented word, is one of SEEDS.
 """
 
@@ -23,6 +23,8 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 SEEDS = ("adult", "ads", "bet", "bets", "casino", "cheap", "gamble", "gambling", "loan", "loans", "pills", "poker", "porn", "sex", "spam", "viagra", "xxx")
 #: Most words of the unigram model, letters of a word, letters segmented at a time, and sampled hosts and paths.
 WORDS, LONGEST, SPAN, SAMPLE = 20_000, 20, 256, 20_000
+#: Fewest letters of the words that a counted name is taken apart into.
+SHORTEST = 3
 THRESHOLD = 0.5
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -91,6 +93,31 @@ class Segmenter:
         return out
 
 
+def split_counts(counts: dict[str, int], whole=()) -> dict[str, int]:
+    """Counts without the names that are other words run together; their counts go to those words. Words of ``whole`` stay.
+
+    A name goes if its best split without itself has only known words of SHORTEST letters or more, and either each of these is as frequent as
+    the name, or the name saves less, over its uses, than its letters cost as a word of the model.
+    """
+    counts = dict(counts)
+    model, keep = Segmenter(counts), set(whole)
+    for w in sorted(counts, key=lambda w: (-len(w), w)):
+        own = model.cost.get(w)
+        if w in keep or len(w) < 2 * SHORTEST:
+            continue
+        del model.cost[w]
+        parts, n = model._words(w), counts[w]
+        known = len(parts) > 1 and all(len(x) >= SHORTEST and x in model.cost for x in parts)
+        saved = n * (sum(model.cost[x] for x in parts) - own) if known else 0
+        if known and (min(counts[x] for x in parts) >= n or saved < model.unknown + 2.302585 * len(w)):
+            del counts[w]
+            for x in parts:
+                counts[x] += n
+        else:
+            model.cost[w] = own
+    return counts
+
+
 class Bayes:
     """Multinomial naive Bayes on two classes, with one added to every count."""
 
@@ -127,12 +154,13 @@ def _unmarked(word: str) -> str:
 
 
 def fit(urls: DataFrame, rules=RULES, seeds=SEEDS) -> Filter:
-    """urls: host, path. Word counts over all rows; training on distinct (host, path) with small hashes, about SAMPLE of them."""
+    """urls: host, path. Words count once a host, over all rows, and names run together count as their words; training on distinct (host, path) with small hashes, about SAMPLE of them."""
     names = F.regexp_extract_all(F.lower(F.concat_ws("/", "host", "path")), F.lit(r"(\p{L}+)"), 1)
-    words = urls.select(F.explode(names).alias("word")).where(F.length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n"))
+    words = urls.select("host", F.explode(names).alias("word")).where(F.length("word") <= LONGEST).distinct().groupBy("word").agg(F.count("*").alias("n"))
     counts = {r.word: r.n for r in most_frequent(words.where("n > 1"), WORDS)}
     for w in seeds:
         counts[w] = max(counts.get(w, 0), 2)
+    counts = split_counts(counts, seeds)
     segmenter = Segmenter(counts)
     n = urls.select(F.approx_count_distinct(F.struct("host", "path"), 0.05)).first()[0]
     share = int(min(1.0, SAMPLE / max(n, 1)) * (1 << 20)) + 1

@@ -314,6 +314,15 @@ def test_url_rules_and_parts(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).collect() == []
 
 
+@pytest.mark.parametrize("pages,hosts", [(1, 1), (2, 1), (500, 1), (40, 4)])
+def test_names_run_together_are_split_however_many_pages_they_have(spark, pages, hosts):
+    rows = [(f"cheap-casino{i}.example.net", "/en/") for i in range(20)] + [(f"good{i}.example.org", f"/en/{i}") for i in range(60)]
+    rows += [(f"{'abcd'[i % hosts]}.cheapcasino.example.com", f"/en/{i}") for i in range(pages)]
+    made = url_filter.fit(spark.createDataFrame(rows, "host string, path string"))
+    assert made.segmenter("cheapcasino.example.com") == ["cheap", "casino", "example", "com"]
+    assert made.bayes.score(made.words("cheapcasino.example.com", "/en/7")) > made.bayes.score(made.words("good7.example.org", "/en/7"))
+
+
 def test_segmentation_is_the_best_of_all_splits():
     s, rng = url_filter.Segmenter({"ab": 5, "a": 3, "b": 2, "ba": 7, "bab": 1, "c": 4}), random.Random(3)
 
