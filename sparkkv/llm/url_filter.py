@@ -1,8 +1,8 @@
 """URL filter: rules first, then naive Bayes over the words of host and path.
 
 Names run together are split by a unigram model: the Viterbi path through the letters with the most probable words. A word's frequency
-is its number of hosts, over all urls, and names that are more frequent words run together count as those words. The classifier is multinomial naive Bayes; its training urls are a bounded sample of distinct
-hosts and paths, labelled by whether a name that is delimited by the writer, or a segmented word, is one of SEEDS.
+is its number of hosts, over all urls, and names that are more frequent words run together count as those words. The classifier is multinomial naive Bayes; its training urls are all distinct
+hosts and paths, counted in the executors and labelled by whether a name that is delimited by the writer, or a segmented word, is one of SEEDS.
 """
 
 from __future__ import annotations
@@ -15,14 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import most_frequent, table
+from ._common import Scratch, most_frequent, table
 
 #: (host, path, verdict); a rule fits its host and all subdomains if the url's path starts with the rule's, and the longest wins.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Words that mark unwanted sites, from which the classifier learns.
 SEEDS = ("adult", "ads", "bet", "bets", "casino", "cheap", "gamble", "gambling", "loan", "loans", "pills", "poker", "porn", "sex", "spam", "viagra", "xxx")
-#: Most words of the unigram model, letters of a word, letters segmented at a time, and sampled hosts and paths.
-WORDS, LONGEST, SPAN, SAMPLE = 20_000, 20, 256, 20_000
+#: Most words of the unigram model, letters of a word, letters segmented at a time, and words with a weight, besides the seeds.
+WORDS, LONGEST, SPAN, WEIGHTS = 20_000, 20, 256, 200_000
 #: Fewest letters of the words that a counted name is taken apart into.
 SHORTEST = 3
 THRESHOLD = 0.5
@@ -131,6 +131,15 @@ class Bayes:
         self.prior = float(np.log((docs[True] + 1) / (docs[False] + 1)))
         self.weight = {w: float(np.log((counts[True][w] + 1) / total[True]) - np.log((counts[False][w] + 1) / total[False])) for w in vocabulary}
 
+    @classmethod
+    def of(cls, counts: dict, urls: tuple[int, int], words: tuple[int, int], size: int) -> Bayes:
+        """From counts of words as (wanted, unwanted), of urls and of all words so too, and the number of distinct words."""
+        made = cls([])
+        made.prior = float(np.log((urls[1] + 1) / (urls[0] + 1)))
+        totals = [n + size + 1 for n in words]
+        made.weight = {w: float(np.log((bad + 1) / totals[1]) - np.log((good + 1) / totals[0])) for w, (good, bad) in counts.items()}
+        return made
+
     def score(self, words: list[str]) -> float:
         """Probability of the unwanted class; words not seen in training say nothing."""
         odds = self.prior + sum(self.weight.get(w, 0.0) for w in words)
@@ -154,7 +163,7 @@ def _unmarked(word: str) -> str:
 
 
 def fit(urls: DataFrame, rules=RULES, seeds=SEEDS) -> Filter:
-    """urls: host, path. Words count once a host, over all rows, and names run together count as their words; training on distinct (host, path) with small hashes, about SAMPLE of them."""
+    """urls: host, path. Words count once a host, over all rows, and names run together count as their words; training on all distinct (host, path)."""
     names = F.regexp_extract_all(F.lower(F.concat_ws("/", "host", "path")), F.lit(r"(\p{L}+)"), 1)
     words = urls.select("host", F.explode(names).alias("word")).where(F.length("word") <= LONGEST).distinct().groupBy("word").agg(F.count("*").alias("n"))
     counts = {r.word: r.n for r in most_frequent(words.where("n > 1"), WORDS)}
@@ -162,18 +171,40 @@ def fit(urls: DataFrame, rules=RULES, seeds=SEEDS) -> Filter:
         counts[w] = max(counts.get(w, 0), 2)
     counts = split_counts(counts, seeds)
     segmenter = Segmenter(counts)
-    n = urls.select(F.approx_count_distinct(F.struct("host", "path"), 0.05)).first()[0]
-    share = int(min(1.0, SAMPLE / max(n, 1)) * (1 << 20)) + 1
-    picked = urls.where(F.pmod(F.xxhash64("host", "path"), F.lit(1 << 20)) < share).distinct().collect()
-    made, seeds_ = Filter(rules, segmenter, Bayes([])), set(seeds)
-    examples = []
-    for r in sorted((r.host, r.path) for r in picked):
-        marked = made.words(*r)
-        examples.append((marked, bool(seeds_ & set(map(_unmarked, marked)) or seeds_ & set(_NAME.findall("/".join(r).lower())))))
-    made.bayes = Bayes(examples)
+    made, spark = Filter(rules, segmenter, Bayes([])), urls.sparkSession
+    kinds = "word string, bad long, good long, bad_urls long, good_urls long"
+    found = urls.distinct().mapInArrow(_class_counts(spark.sparkContext.broadcast((made, set(seeds)))), kinds)
+    found = Scratch(spark).save(found.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("bad", "good", "bad_urls", "good_urls")), F.sum(F.col("bad") + F.col("good")).alias("n")))
+    docs = found.where("word is null").first()
+    every = found.where("word is not null")
+    always = [f"{k}:{w}" for k in "hp" for w in seeds]
+    rows = [*most_frequent(every, WEIGHTS), *every.where(F.col("word").isin(always)).collect()]
+    size, bad, good = every.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
+    if docs:
+        made.bayes = Bayes.of({r.word: (r.good, r.bad) for r in rows}, (docs.good_urls, docs.bad_urls), (good, bad), size)
     return made
 
 
+def _class_counts(state):
+    """Words with their counts in unwanted and in other urls; a null word has the numbers of urls."""
+
+    def run(batches):
+        made, seeds = state.value
+        for b in batches:
+            counts, urls = (Counter(), Counter()), [0, 0]
+            for h, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                marked = made.words(h, p)
+                bad = bool(seeds & set(map(_unmarked, marked)) or seeds & set(_NAME.findall(f"{h}/{p}".lower())))
+                counts[bad].update(marked)
+                urls[bad] += 1
+            words = [*{**counts[0], **counts[1]}]
+            zeros = [0] * len(words)
+            cols = [[counts[1][w] for w in words] + [0], [counts[0][w] for w in words] + [0], [*zeros, urls[1]], [*zeros, urls[0]]]
+            yield pa.RecordBatch.from_arrays([pa.array([*words, None], pa.string()), *(pa.array(c, pa.int64()) for c in cols)], ["word", "bad", "good", "bad_urls", "good_urls"])
+
+    return run
+
+
 def _judge(filter_):
     def run(batches):
         f = filter_.value

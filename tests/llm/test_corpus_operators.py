@@ -323,6 +323,13 @@ def test_names_run_together_are_split_however_many_pages_they_have(spark, pages,
     assert made.bayes.score(made.words("cheapcasino.example.com", "/en/7")) > made.bayes.score(made.words("good7.example.org", "/en/7"))
 
 
+def test_url_weights_come_from_all_distinct_urls(spark):
+    urls = spark.range(60_000).selectExpr("'a.example.org' host", "concat('/en/', id, if(id % 6000 = 7, '/viagra', '')) path")
+    made = url_filter.fit(urls.union(urls))
+    want = url_filter.Bayes([(made.words("a.example.org", f"/en/{i}" + ("/viagra" if i % 6000 == 7 else "")), i % 6000 == 7) for i in range(60_000)])
+    assert made.bayes.prior == pytest.approx(want.prior) and made.bayes.weight == pytest.approx(want.weight)
+
+
 def test_segmentation_is_the_best_of_all_splits():
     s, rng = url_filter.Segmenter({"ab": 5, "a": 3, "b": 2, "ba": 7, "bab": 1, "c": 4}), random.Random(3)
 
