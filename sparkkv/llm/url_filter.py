@@ -1,8 +1,12 @@
 """URL filter: rules first, then naive Bayes over the words of host and path.
 
-Names run together are split by a unigram model: the Viterbi path through the letters with the most probable words. A word's frequency
-is its number of hosts, over all urls, and names that are more frequent words run together count as those words. The classifier is multinomial naive Bayes; its training urls are all distinct
-hosts and paths, counted in the executors and labelled by whether a name that is delimited by the writer, or a segmented word, is one of SEEDS.
+Names run together are split by a unigram model: the Viterbi path through all letters of a name with the most probable words. A word's frequency
+is its number of hosts, over all urls, and names that are more frequent words run together count as those words.
+
+The classifier is multinomial naive Bayes. It learns from all distinct hosts and paths, counted in the executors: a url that a rule fits has that rule's
+verdict as its label; of the others, those with a word of SEEDS are unwanted, and the rest count as wanted with the weight UNLABELLED. So it carries
+the rules over to urls that none fits, by the words that they share with those that one fits. The probability of the unwanted class takes the words
+of a url once each, so that a name said twice is no stronger evidence.
 """
 
 from __future__ import annotations
@@ -19,10 +23,12 @@ from ._common import Scratch, most_frequent, table
 
 #: (host, path, verdict); a rule fits its host and all subdomains if the url's path starts with the rule's, and the longest wins.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: Words that mark unwanted sites, from which the classifier learns.
+#: Words that mark unwanted sites where no rule fits.
 SEEDS = ("adult", "ads", "bet", "bets", "casino", "cheap", "gamble", "gambling", "loan", "loans", "pills", "poker", "porn", "sex", "spam", "viagra", "xxx")
-#: Most words of the unigram model, letters of a word, letters segmented at a time, and words with a weight, besides the seeds.
-WORDS, LONGEST, SPAN, WEIGHTS = 20_000, 20, 256, 200_000
+#: Weight of a url that neither a rule nor a seed labels, as a wanted one.
+UNLABELLED = 0.5
+#: Words of the unigram model (the size of the model: the most frequent, the others are unknown words to it), letters of a word, and words with a weight, besides the seeds.
+WORDS, LONGEST, WEIGHTS = 100_000, 24, 200_000
 #: Fewest letters of the words that a counted name is taken apart into.
 SHORTEST = 3
 THRESHOLD = 0.5
@@ -83,13 +89,13 @@ class Segmenter:
         return out[::-1]
 
     def __call__(self, text: str) -> list[str]:
+        """Words of a text; of a number its first digit, and a 0 for each further one up to four digits."""
         out = []
         for name in _NAME.findall(text.lower()):
-            if name.isdigit():
-                out.append("0" * min(len(name), 4))
-            else:  # very long names in spans, so that time stays linear
-                for lo in range(0, len(name), SPAN):
-                    out += self._words(name[lo : lo + SPAN])
+            if name[0].isdecimal():
+                out.append(name[0] + "0" * min(len(name) - 1, 3))
+            else:
+                out += self._words(name)
         return out
 
 
@@ -121,24 +127,11 @@ def split_counts(counts: dict[str, int], whole=()) -> dict[str, int]:
 class Bayes:
     """Multinomial naive Bayes on two classes, with one added to every count."""
 
-    def __init__(self, examples: list[tuple[list[str], bool]]):
-        counts = {False: Counter(), True: Counter()}
-        docs = Counter(bad for _, bad in examples)
-        for words, bad in examples:
-            counts[bad].update(words)
-        vocabulary = set(counts[False]) | set(counts[True])
-        total = {k: sum(c.values()) + len(vocabulary) + 1 for k, c in counts.items()}
-        self.prior = float(np.log((docs[True] + 1) / (docs[False] + 1)))
-        self.weight = {w: float(np.log((counts[True][w] + 1) / total[True]) - np.log((counts[False][w] + 1) / total[False])) for w in vocabulary}
-
-    @classmethod
-    def of(cls, counts: dict, urls: tuple[int, int], words: tuple[int, int], size: int) -> Bayes:
-        """From counts of words as (wanted, unwanted), of urls and of all words so too, and the number of distinct words."""
-        made = cls([])
-        made.prior = float(np.log((urls[1] + 1) / (urls[0] + 1)))
+    def __init__(self, counts: dict, urls: tuple[float, float] = (0, 0), words: tuple[float, float] = (0, 0), size: int = 0):
+        """From weighted counts of words as (wanted, unwanted), of urls and of all words so too, and the number of distinct words."""
+        self.prior = float(np.log((urls[1] + 1) / (urls[0] + 1)))
         totals = [n + size + 1 for n in words]
-        made.weight = {w: float(np.log((bad + 1) / totals[1]) - np.log((good + 1) / totals[0])) for w, (good, bad) in counts.items()}
-        return made
+        self.weight = {w: float(np.log((bad + 1) / totals[1]) - np.log((good + 1) / totals[0])) for w, (good, bad) in counts.items()}
 
     def score(self, words: list[str]) -> float:
         """Probability of the unwanted class; words not seen in training say nothing."""
@@ -151,56 +144,65 @@ class Filter:
         self.rules, self.segmenter, self.bayes, self.seen = Rules(rules), segmenter, bayes, {}
 
     def words(self, host_: str, path_: str) -> list[str]:
+        """The distinct words, marked as the host's or the path's, in order."""
         if host_ not in self.seen:
-            if len(self.seen) > 100_000:
+            if len(self.seen) > 100_000 or len(host_) > 1_000:
                 self.seen.clear()
-            self.seen[host_] = [f"h:{w}" for w in self.segmenter(host_)]
-        return self.seen[host_] + [f"p:{w}" for w in self.segmenter(path_)]
-
+            self.seen[host_] = [f"h:{w}" for w in dict.fromkeys(self.segmenter(host_))]
+        return self.seen[host_] + [f"p:{w}" for w in dict.fromkeys(self.segmenter(path_))]
 
-def _unmarked(word: str) -> str:
-    return word[2:]
+    def label(self, host_: str, path_: str, words: list[str], seeds: set) -> int:
+        """1 unwanted, 0 wanted, -1 neither known."""
+        verdict = self.rules.find(host_, path_)[1]
+        if verdict:
+            return int(verdict == "block")
+        return 1 if not seeds.isdisjoint(w[2:] for w in words) or not seeds.isdisjoint(_NAME.findall(f"{host_}/{path_}".lower())) else -1
 
 
-def fit(urls: DataFrame, rules=RULES, seeds=SEEDS) -> Filter:
+def fit(urls: DataFrame, rules=RULES, seeds=SEEDS, words: int = WORDS) -> Filter:
     """urls: host, path. Words count once a host, over all rows, and names run together count as their words; training on all distinct (host, path)."""
+    spark = urls.sparkSession
+    scratch = Scratch(spark)
     names = F.regexp_extract_all(F.lower(F.concat_ws("/", "host", "path")), F.lit(r"(\p{L}+)"), 1)
-    words = urls.select("host", F.explode(names).alias("word")).where(F.length("word") <= LONGEST).distinct().groupBy("word").agg(F.count("*").alias("n"))
-    counts = {r.word: r.n for r in most_frequent(words.where("n > 1"), WORDS)}
+    found = urls.select("host", F.explode(names).alias("token")).where(F.length("token") <= LONGEST).distinct()
+    found = scratch.save(found.groupBy("token").agg(F.count("*").alias("n")))
+    counts = {r.token: r.n for r in most_frequent(found, words)}
+    scratch.drop(found)
     for w in seeds:
         counts[w] = max(counts.get(w, 0), 2)
-    counts = split_counts(counts, seeds)
-    segmenter = Segmenter(counts)
-    made, spark = Filter(rules, segmenter, Bayes([])), urls.sparkSession
-    kinds = "word string, bad long, good long, bad_urls long, good_urls long"
+    made = Filter(rules, Segmenter(split_counts(counts, seeds)), Bayes({}))
+    kinds = "token string, bad double, good double, bad_urls double, good_urls double"
     found = urls.distinct().mapInArrow(_class_counts(spark.sparkContext.broadcast((made, set(seeds)))), kinds)
-    found = Scratch(spark).save(found.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("bad", "good", "bad_urls", "good_urls")), F.sum(F.col("bad") + F.col("good")).alias("n")))
-    docs = found.where("word is null").first()
-    every = found.where("word is not null")
+    found = found.groupBy("token").agg(*(F.sum(c).alias(c) for c in ("bad", "good", "bad_urls", "good_urls")), F.ceil(F.sum(F.col("bad") + F.col("good"))).alias("n"))
+    found = scratch.save(found)
+    docs = found.where("token is null").first()
+    every = found.where("token is not null")
     always = [f"{k}:{w}" for k in "hp" for w in seeds]
-    rows = [*most_frequent(every, WEIGHTS), *every.where(F.col("word").isin(always)).collect()]
+    rows = [*most_frequent(every, WEIGHTS), *every.where(F.col("token").isin(always)).collect()]
     size, bad, good = every.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
     if docs:
-        made.bayes = Bayes.of({r.word: (r.good, r.bad) for r in rows}, (docs.good_urls, docs.bad_urls), (good, bad), size)
+        made.bayes = Bayes({r.token: (r.good, r.bad) for r in rows}, (docs.good_urls, docs.bad_urls), (good, bad), size)
+    scratch.close()
     return made
 
 
 def _class_counts(state):
-    """Words with their counts in unwanted and in other urls; a null word has the numbers of urls."""
+    """Words with their weighted counts in unwanted and in wanted urls; a null word has the weights of urls."""
 
     def run(batches):
         made, seeds = state.value
         for b in batches:
-            counts, urls = (Counter(), Counter()), [0, 0]
+            counts, urls = (Counter(), Counter(), Counter()), [0, 0, 0]
             for h, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                marked = made.words(h, p)
-                bad = bool(seeds & set(map(_unmarked, marked)) or seeds & set(_NAME.findall(f"{h}/{p}".lower())))
-                counts[bad].update(marked)
-                urls[bad] += 1
-            words = [*{**counts[0], **counts[1]}]
-            zeros = [0] * len(words)
-            cols = [[counts[1][w] for w in words] + [0], [counts[0][w] for w in words] + [0], [*zeros, urls[1]], [*zeros, urls[0]]]
-            yield pa.RecordBatch.from_arrays([pa.array([*words, None], pa.string()), *(pa.array(c, pa.int64()) for c in cols)], ["word", "bad", "good", "bad_urls", "good_urls"])
+                words = made.words(h, p)
+                label = made.label(h, p, words, seeds)
+                counts[label].update(words)
+                urls[label] += 1
+            good, bad, rest = counts
+            words = [*{**good, **bad, **rest}]
+            zeros = [0.0] * len(words)
+            cols = [[*map(float, map(bad.__getitem__, words)), 0.0], [*(good[w] + UNLABELLED * rest[w] for w in words), 0.0], [*zeros, float(urls[1])], [*zeros, urls[0] + UNLABELLED * urls[2]]]
+            yield pa.RecordBatch.from_arrays([pa.array([*words, None], pa.string()), *(pa.array(c, pa.float64()) for c in cols)], ["token", "bad", "good", "bad_urls", "good_urls"])
 
     return run
 
@@ -223,8 +225,9 @@ def _judge(filter_):
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, seeds=SEEDS) -> DataFrame:
     """A row for every row: page_id, host, path, rule (null if none fits), verdict (allow or block), score (of the method).
 
-    A null url or one without :// has empty host and path; no rule with a path fits it and its verdict is the method's on no words. Rows repeat
-    as often as they come in; a null id stays null. Other columns are not read. An empty table gives an empty result.
+    A null url or one without :// has empty host and path; no rule with a path fits it and its verdict is the method's on no words. Very long
+    urls are read whole. Equally long rules that disagree: the one that blocks wins. Rows repeat as often as they come in, though a host and
+    path teaches once; a null id stays null. Other columns are not read, whatever their names. An empty table gives an empty result.
     """
     urls = pages.select(F.col(id_col).cast("long").alias("page_id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
     made = pages.sparkSession.sparkContext.broadcast(fit(urls.select("host", "path"), rules, seeds))
