@@ -2,10 +2,13 @@
 
 1. A bounded sample of the vectors gets an exact neighbour graph.
 2. The graph is cut into parts of nearly equal size: balanced label propagation from balanced centres, where a vector moves to the part
-   that holds most of its neighbours and has room.
+   that holds most of its neighbours and has room. There is a part for every PART_ROWS rows of the table, at most PARTS.
 3. A small classifier (softmax regression on the vector) learns the part in which a vector's neighbours lie.
-4. Every row of the table is put in its likeliest part. A query goes to its PROBES likeliest parts, where its scores
-   with all their rows are computed exactly, in blocks. A part with many rows is dealt to several tasks, whose best rows meet.
+4. Sampled vectors that the classifier has not seen are searched for their nearest in the sample: the fewest parts with which the mean recall, less
+   twice its standard error, reaches RECALL are the number of parts that a query goes to.
+5. Every row of the table is put in its likeliest part, once. A query goes to its likeliest parts, where its scores with all their rows are
+   computed exactly, in blocks: a part of more than BLOCK rows is dealt to several tasks, each of which holds its rows and lets
+   the part's queries stream past. Their best rows meet.
 """
 
 from __future__ import annotations
@@ -18,13 +21,13 @@ from pyspark.sql import functions as F
 from ._common import Scratch, table
 
 SAMPLE = 8_192
-PARTS = 64
-PROBES = 44
+#: Most parts, rows for each below that, recall to reach on the sample, and the share of the sample that measures it.
+PARTS, PART_ROWS, RECALL, MEASURED = 128, 64, 0.93, 0.125
 TOP = 20
 EVERY = 20
 GRAPH = 12
-#: Rows of a part that one task holds against the queries of that part.
-BLOCK = 16_384
+#: Rows of a part that one task holds, about.
+BLOCK = 65_536
 SEED = 7
 
 
@@ -83,7 +86,7 @@ class Router:
     """Softmax regression from a unit vector to the part of its neighbours."""
 
     def __init__(self, x: np.ndarray, parts: int = PARTS, seed: int = SEED, epochs: int = 60):
-        self.parts = max(1, min(parts, len(x) // 64))
+        self.parts = max(1, min(parts, len(x) // 32))
         self.weights = np.zeros((x.shape[1] + 1, self.parts))
         if self.parts == 1:
             return
@@ -111,35 +114,66 @@ class Router:
         return np.argsort(-s, axis=1, kind="stable")[:, : min(n, self.parts)].astype(np.int32)
 
 
+def fewest_probes(x: np.ndarray, parts: int, recall: float = RECALL, top: int = TOP, seed: int = SEED) -> tuple[Router, int]:
+    """A router, and the fewest parts with which vectors that it has not seen reach ``recall`` among the rows of x, by the means of the module."""
+    length = np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    asked = np.random.default_rng(seed).permutation(len(x))[: max(1, int(len(x) * MEASURED))] if len(x) else np.empty(0, np.int64)
+    rest = np.setdiff1d(np.arange(len(x)), asked)
+    router = Router(x[rest] / length[rest], parts)
+    if router.parts == 1:
+        return router, 1
+    home = router.likeliest(x, 1)[:, 0]
+    hits = np.zeros((len(asked), router.parts))
+    for lo in range(0, len(asked), 256):
+        q = asked[lo : lo + 256]
+        s = x[q] @ x.T
+        s[np.arange(len(q)), q] = -np.inf
+        near = np.argpartition(s, -top, axis=1)[:, -top:]
+        place = np.argsort(router.likeliest(x[q], router.parts), axis=1)  # of each part in a query's order
+        np.add.at(hits, (np.repeat(np.arange(lo, lo + len(q)), top), place[np.arange(len(q))[:, None], home[near]].ravel()), 1.0 / top)
+    found = hits.cumsum(axis=1)
+    sure = found.mean(axis=0) - 2 * found.std(axis=0) / np.sqrt(len(asked))
+    return router, int(np.argmax(sure >= recall)) + 1
+
+
 def usable(df: DataFrame, id_col: str, vector_col: str, dim: int | None = None) -> DataFrame:
-    """(vec_id, vector of doubles): rows with an id and a vector of the common length, finite in every component and not zero."""
+    """(vec_id, vector of the column's own kind): rows with an id and a vector that is finite in every component and not zero."""
     v = F.col(vector_col)
-    rows = df.where(F.col(id_col).isNotNull() & v.isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("vector"))
+    kind = "array<float>" if df.schema[vector_col].dataType.elementType.typeName() == "float" else "array<double>"
+    rows = df.where(F.col(id_col).isNotNull() & v.isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), v.cast(kind).alias("vector"))
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return rows.where(~bad & F.exists("vector", lambda x: x != 0))
 
 
 def _matrix(column) -> np.ndarray:
-    return column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[-1].as_py()].reshape(len(column), -1)
+    """Rows of doubles."""
+    return column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[-1].as_py()].reshape(len(column), -1).astype(float)
 
 
-def _route(router, probes, queries_every):
-    """(part, vec_id, query, vector): a row in its likeliest part; a query also, marked, in each part that it probes."""
+def _home(router):
+    """(part, vec_id, vector): a row in its likeliest part."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                part = router.value.likeliest(_matrix(b.column(1)), 1)[:, 0]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), b.column(0), b.column(1)], ["part", "vec_id", "vector"])
+
+    return run
+
+
+def _ask(router, probes, sizes, least):
+    """(part, vec_id, vector): a query in each part that it goes to, the ``probes`` likeliest, and further ones while these hold fewer than ``least`` rows."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, x = b.column(0).to_numpy(), _matrix(b.column(1))
-            own = np.arange(len(ids))
-            home = router.value.likeliest(x, 1)[:, 0]
-            ask = np.flatnonzero(ids % queries_every == 0)
-            to = router.value.likeliest(x[ask], probes) if len(ask) else np.empty((0, 1), np.int32)
-            rows = np.concatenate([own, np.repeat(ask, to.shape[1])])
-            part = np.concatenate([home, to.ravel()])
-            query = np.concatenate([np.zeros(len(own), bool), np.ones(to.size, bool)])
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(part), b.column(0).take(take), pa.array(query), b.column(1).take(take)], ["part", "vec_id", "query", "vector"])
+            to = router.value.likeliest(_matrix(b.column(2)), len(sizes))
+            held = np.asarray(sizes)[to].cumsum(axis=1)
+            goes = (np.arange(to.shape[1]) < probes) | (held - np.asarray(sizes)[to] < least)
+            take = pa.array(np.repeat(np.arange(len(to)), goes.sum(axis=1)))
+            yield pa.RecordBatch.from_arrays([pa.array(to[goes], pa.int32()), b.column(1).take(take), b.column(2).take(take)], ["part", "vec_id", "vector"])
 
     return run
 
@@ -153,36 +187,63 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _rerank(top):
-    """A (part, deal, ask) group: at most about BLOCK rows and BLOCK queries of a part; gives each query's best of these rows."""
+    """Rows (part, deal, query, vec_id, vector) sorted so that a deal's rows come before its queries; gives each query's best of these rows."""
 
-    def run(group):
-        asked = group.column("query").to_numpy(zero_copy_only=False).astype(bool)
-        ids, x = group.column("vec_id").to_numpy(), _matrix(group.column("vector").combine_chunks())
-        q_ids, q, ids, x = ids[asked], x[asked], ids[~asked], x[~asked]
+    def best(q_ids, q, ids, x):
         out = []
-        for lo in range(0, len(q_ids) if len(ids) else 0, 256):
+        for lo in range(0, len(q_ids), 256):
             near = q[lo : lo + 256] @ x.T
+            near[q_ids[lo : lo + 256, None] == ids] = -np.inf
             for n, s in enumerate(near):
-                own = int(q_ids[lo + n])
-                s[ids == own] = -np.inf
                 # a margin for rounding: the sums in fixed order decide
                 edge = np.partition(s, len(s) - top)[len(s) - top] - 1e-9 * (1 + np.abs(s[s > -np.inf]).max(initial=0)) if len(s) > top else -np.inf
                 keep = np.flatnonzero((s >= edge) & (s > -np.inf))
                 exact = exact_scores(q[lo + n], x[keep])
                 at = np.lexsort((ids[keep], -exact))[:top]
-                out.append((np.full(len(at), own), ids[keep][at], exact[at]))
+                out.append((np.full(len(at), q_ids[lo + n]), ids[keep][at], exact[at]))
         cols = [np.concatenate(c) for c in zip(*out)] or [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        return pa.table({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
+
+    def run(batches):
+        here, ids, x, block = None, [], [], None
+        for b in batches:
+            part, deal, asked, vec = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            asked = asked.astype(bool)
+            m = _matrix(b.column(4)) if b.num_rows else None
+            cuts = np.flatnonzero((part[1:] != part[:-1]) | (deal[1:] != deal[:-1]) | (asked[1:] != asked[:-1])) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+                if lo == hi:
+                    continue
+                if (part[lo], deal[lo]) != here:
+                    here, ids, x, block = (part[lo], deal[lo]), [], [], None
+                if not asked[lo]:
+                    ids.append(vec[lo:hi])
+                    x.append(m[lo:hi])
+                elif ids:
+                    block = block or (np.concatenate(ids), np.concatenate(x))
+                    yield best(vec[lo:hi], m[lo:hi], *block)
 
     return run
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, every: int = EVERY, parts: int = PARTS, probes: int = PROBES, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def placed(routed: DataFrame, deals: DataFrame) -> DataFrame:
+    """(part, deal, query, vec_id, vector): each row once, and a query once in every deal of a part that it goes to."""
+    spread = routed.join(F.broadcast(deals), "part")
+    deal = F.when(F.col("query"), F.sequence(F.lit(0), F.col("deals") - 1)).otherwise(F.array(F.pmod(F.xxhash64("vec_id"), "deals").cast("int")))
+    return spread.withColumn("deal", F.explode(deal)).select("part", "deal", "query", "vec_id", "vector")
+
+
+def search(
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, every: int = EVERY, parts: int = PARTS, probes: int | None = None, sample: int = SAMPLE, block: int = BLOCK, recall: float = RECALL
+) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` rows with the largest inner products for each query, a row whose id is divisible by ``every``.
 
-    Rows with a null id, a vector that is null, zero, of another length than most, or holds a null or non-finite component take no part. An id
-    that repeats counts once, with its smallest vector. Ties go to the smaller id. With fewer than ``top`` candidates all are given;
-    a table without queries or candidates gives an empty result. Other columns are not read.
+    ``probes`` is the number of parts that a query goes to, by default the fewest that reach ``recall`` on the sample. Rows with a null id, a vector that
+    is null, zero, of another length than most, or holds a null or non-finite component take no part. An id that repeats counts once, with its
+    smallest vector. Ties go to the smaller id. With fewer than ``top`` candidates all are given. A table without queries or candidates gives an
+    empty result. Other columns are not read, whatever their names; vectors are of one length, so none is long.
+
+    What moves: each row once, and each query once for each part that it goes to and for each BLOCK rows of that part.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
@@ -194,17 +255,17 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     share = min(1.0, sample / max(n, 1))
     picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("vec_id").collect()  # about ``sample`` rows at any n
     x = np.array([r.vector for r in picked], float).reshape(-1, dim)
-    router = Router(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300), parts)
-    routed = rows.mapInArrow(_route(spark.sparkContext.broadcast(router), probes, every), "part int, vec_id long, query boolean, vector array<double>")
-    routed = scratch.save(routed)
-    sizes = {(r.part, r.query): r["count"] for r in routed.groupBy("part", "query").count().collect()}  # two rows a part
-    deals = spark.createDataFrame([(p, -(-sizes.get((p, False), 0) // block), -(-sizes.get((p, True), 0) // block)) for p in range(router.parts)], "part int, deals int, asks int")
-    h = F.xxhash64("vec_id")
-    spread = routed.join(F.broadcast(deals), "part").where("deals > 0 and asks > 0")
-    deal = F.when(F.col("query"), F.sequence(F.lit(0), F.col("deals") - 1)).otherwise(F.array(F.pmod(h, "deals").cast("int")))
-    ask = F.when(F.col("query"), F.array(F.pmod(h, "asks").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("asks") - 1))
-    spread = spread.withColumn("deal", F.explode(deal)).withColumn("ask", F.explode(ask))
-    near = spread.select("part", "deal", "ask", "vec_id", "query", "vector").groupBy("part", "deal", "ask").applyInArrow(_rerank(top), "query_id long, vec_id long, score double")
+    router, enough = fewest_probes(x, min(parts, n // PART_ROWS), recall, top)
+    state, kinds = spark.sparkContext.broadcast(router), f"part int, vec_id long, vector {rows.schema['vector'].dataType.simpleString()}"
+    homes = scratch.save(rows.mapInArrow(_home(state), kinds))
+    counts = {r.part: r["count"] for r in homes.groupBy("part").count().collect()}  # at most PARTS
+    sizes = [counts.get(p, 0) for p in range(router.parts)]
+    asks = homes.where(F.col("vec_id") % every == 0).mapInArrow(_ask(state, probes or enough, sizes, top + 1), kinds)
+    routed = homes.withColumn("query", F.lit(False)).unionByName(asks.withColumn("query", F.lit(True)))
+    deals = spark.createDataFrame([(p, max(1, -(-k // block))) for p, k in enumerate(sizes)], "part int, deals int")
+    spread = placed(routed, deals)
+    spread = spread.repartition("part", "deal").sortWithinPartitions("part", "deal", "query")
+    near = spread.mapInArrow(_rerank(top), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
