@@ -73,10 +73,10 @@ def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
 def _fingerprints(shingle, prints):
     def run(batches):
         for b in batches:
-            got = [fingerprints(t.as_py(), shingle, prints) for t in b.column(1)]
+            got = [fingerprints(t.as_py(), shingle, prints) for t in b.column(2)]
             flat = np.concatenate(got).astype("<u8").view(np.int64) if got else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * prints), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["doc_id", "fps"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["doc_id", "text_hash", "fps"])
 
     return run
 
@@ -209,17 +209,12 @@ def links(nodes: DataFrame, scratch: Scratch, bucket: int = BUCKET) -> DataFrame
     raise AssertionError
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET, prints: int = 1) -> DataFrame:
-    """(doc_id, fingerprint, component_id), a row for every row of ``docs``.
-
-    A null or empty text has no words and fingerprint 0, which links like any other. A null id takes no
-    part in component_id, which is null only if all ids of a component are. Repeated rows stay.
-    Other columns of ``docs`` are not read. An empty table gives an empty result. With several ``prints`` the first is shown.
-    """
-    scratch = Scratch(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    rows = scratch.save(texts.mapInArrow(_fingerprints(shingle, prints), "doc_id long, fps array<long>").withColumn("fp", F.col("fps")[0]))
-    nodes = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+def _classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, shingle: int, bucket: int, prints: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, fp) for every row, and (fp, first) for every fingerprint: the row (without_id, doc_id, text_hash) that stands for its component."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
+    rows = scratch.save(texts.mapInArrow(_fingerprints(shingle, prints), "doc_id long, text_hash long, fps array<long>").withColumn("fp", F.col("fps")[0]))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without_id"), "doc_id", "text_hash"))
+    nodes = scratch.save(rows.groupBy("fp").agg(first.alias("first")))
     if prints == 1:
         forest = links(nodes.select("fp", F.lit(0).alias("f")), scratch, bucket)
     else:  # each value of a further print stands for the smallest first print beside it
@@ -232,21 +227,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         near = near.join(one, ["f", "a"]).join(two, ["f", "b"]).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
         forest = near.union(same)
     labels = scratch.save(connected_components(forest.select("a", "b"), scratch))
-    roots = labels.join(nodes, labels["node"] == nodes["fp"]).groupBy("root").agg(F.min("first").alias("component_id"))
-    member = labels.join(roots, "root").select(F.col("node").alias("fp"), "component_id")
-    classes = nodes.join(member, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    classes = scratch.save(classes)
+    roots = labels.join(nodes, labels["node"] == nodes["fp"]).groupBy("root").agg(F.min("first").alias("least"))
+    member = labels.join(roots, "root").select(F.col("node").alias("fp"), "least")
+    classes = scratch.save(nodes.join(member, "fp", "left").select("fp", F.coalesce("least", "first").alias("first")))
     scratch.drop_all_but(rows, classes)
+    return rows, classes
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET, prints: int = 1) -> DataFrame:
+    """(doc_id, fingerprint, component_id), a row for every row of ``docs``.
+
+    A null or empty text has no words and fingerprint 0, which links like any other. A null id takes no
+    part in component_id, which is null only if all ids of a component are. Repeated rows stay. Very long texts are read whole.
+    Other columns of ``docs`` are not read, whatever their names. An empty table gives an empty result. With several ``prints`` the first is shown.
+    """
+    rows, classes = _classes(docs, Scratch(docs.sparkSession), id_col, text_col, shingle, bucket, prints)
     text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return rows.select("doc_id", "fp").join(classes, "fp").select("doc_id", text, "component_id")
+    return rows.select("doc_id", "fp").join(classes, "fp").select("doc_id", text, F.col("first.doc_id").alias("component_id"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each component stays, that with the smallest id; rows without an id stay."""
-    keep = near_duplicates(docs, prints=STAGE_PRINTS).where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    docs = docs.select(*DOCUMENT_COLUMNS)
-    kept = docs.join(keep.hint("merge"), docs["doc_id"] == keep["keep_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """Pipeline stage: one row of each component stays, that with the smallest id, then the smallest hash of its text; a row without an id only if none of its component has one.
+
+    Rows are told apart by id and text, so texts that share an id are judged each for itself; rows that agree in both are copies, of which
+    one stays. All texts without words are one component. Extra columns are left out. An empty table stays empty.
+
+    The join that brings the verdicts back to the texts is pinned to a sort-merge join: its kept side grows with the table, so it could be broadcast only on
+    small tables, and one plan at every size is easier to foresee.
+    """
+    docs = docs.select(*DOCUMENT_COLUMNS).withColumn("text_hash", F.xxhash64("text"))
+    classes = _classes(docs, Scratch(spark), "doc_id", "text", SHINGLE, BUCKET, STAGE_PRINTS)[1]
+    keep = classes.select(F.col("first.doc_id").alias("keep_id"), F.col("first.text_hash").alias("keep_hash")).distinct()
+    on = docs["doc_id"].eqNullSafe(keep["keep_id"]) & (docs["text_hash"] == keep["keep_hash"])
+    return docs.join(keep.hint("merge"), on, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select(*DOCUMENT_COLUMNS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
