@@ -20,6 +20,8 @@ CAP = 3
 SEED = 20240611
 ROWS_PER_SLICE = 8_192
 LEAST_SLICES = 64
+#: Most ranges of the sort, and most places of a range that are summed in order in one task; more are sorted again.
+RANGES, IN_ORDER = 2_048, 1_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -58,64 +60,73 @@ def targets(sizes: DataFrame, scratch: Scratch, weights=WEIGHTS, cap: int = CAP)
     return scratch.save(by.select("source", "place", "source_size", F.least(most, F.col("weight") * level).alias("target"))), int(budget)
 
 
-def _end(queue: DataFrame, budget: int, cap: int, slices: int, scratch: Scratch) -> float:
-    """The virtual time at which the budget is spent: the last whose places, with all before it, are within the budget."""
+def _end(queue: DataFrame, budget: int, cap: int, ranges: int, scratch: Scratch, in_order: int = IN_ORDER) -> float:
+    """The virtual time at which the budget is spent: the last whose places, with all before it, are within the budget.
+
+    The places are range-sorted by virtual time, and the sums of the ranges tell in which of them the budget ends. While that one has more than
+    ``in_order`` places it is sorted again, in ranges of its own.
+    """
     finish = F.try_divide(F.col("upto") + F.col("pass") * F.col("source_size"), F.col("target"))
     spots = queue.where("size > 0").withColumn("pass", F.explode(F.array(*[F.lit(i) for i in range(cap)])))
-    spots = spots.groupBy(finish.alias("v")).agg(F.sum("size").alias("size"))
-    spots = scratch.save(spots)
-    sort = scratch.save(spots.repartitionByRange(slices, "v").sortWithinPartitions("v").select("*", F.spark_partition_id().alias("part")))
-    sums = sort.groupBy("part").agg(F.sum("size").alias("words"))
-    sums = sums.select("part", F.coalesce(_before("part", "words"), F.lit(0)).alias("before"))
-    last = sums.where(F.col("before") <= budget).orderBy(F.desc("part")).first()
-    if last is None:
-        return 0.0
-    run = F.sum("size").over(Window.partitionBy("part").orderBy("v")) + last["before"]
-    within = sort.where(F.col("part") == last["part"]).select("v", run.alias("run")).where(F.col("run") <= budget)
-    end = within.agg(F.max("v")).first()[0]
-    if end is None:  # the budget ends between two ranges
-        end = sort.where(F.col("part") < last["part"]).agg(F.max("v")).first()[0]
-    return end or 0.0
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """A row for every row of ``docs``: doc_id, source, size, source_size, target, taken.
-
-    A null text has size 0; rows of size 0 have taken 0. A null source is a source. Null ids are
-    shuffled together. Equal rows may stand in for each other. A document is taken whole, 0 to ``cap`` times. Other columns
-    are not read. An empty table gives an empty result. Reruns agree: the order is a hash of id and size.
+    spots = scratch.save(spots.groupBy(finish.alias("v")).agg(F.sum("size").alias("size")))
+    before, end = 0, None
+    while True:
+        sort = scratch.save(spots.repartitionByRange(ranges, "v").sortWithinPartitions("v").select("*", F.spark_partition_id().alias("part")))
+        sums = sort.groupBy("part").agg(F.sum("size").alias("words"), F.count("*").alias("rows"), F.max("v").alias("v"))
+        sums = scratch.save(sums.select("part", "rows", "v", "words", F.coalesce(_before("part", "words"), F.lit(0)).alias("before")))
+        whole = sums.where(F.col("before") + F.col("words") <= budget - before).agg(F.max("v")).first()[0]
+        end = end if whole is None else whole
+        cut = sums.where((F.col("before") <= budget - before) & (F.col("before") + F.col("words") > budget - before)).orderBy("part").first()
+        if cut is None:
+            return end or 0.0
+        spots, before = sort.where(F.col("part") == cut["part"]).select("v", "size"), before + cut["before"]
+        if cut["rows"] <= in_order:
+            break
+    run = F.sum("size").over(Window.orderBy("v")) + before
+    last = spots.select("v", run.alias("run")).where(F.col("run") <= budget).agg(F.max("v")).first()[0]
+    return (end if last is None else last) or 0.0
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: int = CAP, seed: int = SEED, carry: tuple[str, ...] = (), in_order: int = IN_ORDER) -> DataFrame:
+    """A row for every row of ``docs``: doc_id, source, size, source_size, target, taken, and the columns of ``carry``.
+
+    A null text has size 0; rows of size 0 have taken 0. A null source is a source. Rows with null or repeated ids stand in the
+    order of their texts' hashes; only rows that agree in id and text stand together. A document is taken whole, 0 to ``cap`` times, however long.
+    Columns that are not named are not read, whatever their names. An empty table gives an empty result. Reruns agree: the order is a hash of id, size and text.
     """
     scratch = Scratch(docs.sparkSession)
-    sizes = scratch.save(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
+    text = F.col(text_col)
+    extra = [F.col(c).alias(f"c_{c}") for c in carry]
+    sizes = scratch.save(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("text_hash"), *extra))
     by, budget = targets(sizes, scratch, weights, cap)
     slices = max(LEAST_SLICES, -(-sizes.count() // ROWS_PER_SLICE))
-    keyed = sizes.withColumn("h", F.xxhash64("doc_id", "size", F.lit(seed)))
-    keyed = keyed.withColumn("slice", F.pmod(F.shiftright("h", 20), F.lit(slices)).cast("int"))
+    keyed = sizes.withColumn("h", F.xxhash64("doc_id", "size", "text_hash", F.lit(seed)))
+    keyed = keyed.withColumn("slice", F.pmod(F.shiftright("h", 20), F.lit(slices)).cast("long"))
     sums = keyed.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     ahead = F.sum("words").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("source", "slice", F.coalesce(ahead, F.lit(0)).alias("ahead")).alias("s")
     sums = sums.join(by.alias("b"), F.col("s.source").eqNullSafe(F.col("b.source")))
     sums = scratch.save(sums.select(F.col("s.source").alias("at"), F.col("slice").alias("at_slice"), "ahead", "place", "source_size", "target"))
     queue = keyed.join(sums, keyed["source"].eqNullSafe(sums["at"]) & (keyed["slice"] == sums["at_slice"]))
-    order = Window.partitionBy("place", "slice").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    queue = scratch.save(queue.select("doc_id", "source", "size", "source_size", "target", (F.col("ahead") + F.sum("size").over(order)).alias("upto")))
-    end = _end(queue, budget, cap, slices, scratch)
+    order = Window.partitionBy("place", "slice").orderBy("h", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
+    names = [f"c_{c}" for c in carry]
+    queue = scratch.save(queue.select("doc_id", "source", "size", "source_size", "target", (F.col("ahead") + F.sum("size").over(order)).alias("upto"), *names))
+    end = _end(queue, budget, cap, min(slices, RANGES), scratch, in_order)
     scratch.drop_all_but(queue)
     passes = F.lit(0)
     for i in range(cap):
         v = F.try_divide(F.col("upto") + F.lit(i) * F.col("source_size"), F.col("target"))
         passes = passes + F.when((F.col("size") > 0) & (v <= end), 1).otherwise(0)
-    return queue.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * passes).alias("taken"))
+    return queue.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * passes).alias("taken"), *[F.col(n).alias(c) for n, c in zip(names, carry)])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it. Rows that agree in id, source and size share their passes."""
-    got = mix(docs).where("taken > 0")
-    got = got.groupBy("doc_id", "source", "size").agg((F.sum("taken") / F.sum("size")).alias("passes"))
-    got = got.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), F.round("passes").cast("int").alias("passes"))
-    rows = docs.select(*DOCUMENT_COLUMNS, word_count(F.col("text")).alias("m_words"))
-    on = rows["doc_id"].eqNullSafe(got["m_id"]) & rows["source"].eqNullSafe(got["m_source"]) & (rows["m_words"] == got["m_size"])
-    return rows.join(got.hint("merge"), on).where("passes > 0").withColumn("m_pass", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*DOCUMENT_COLUMNS)
+    """Pipeline stage: each row as often as the mix takes it, whatever its id: rows go through the mix with their texts.
+
+    Rows without words go. Null ids and sources are like others, repeated rows are taken each for itself, extra columns are left out, and an empty table stays empty.
+    """
+    got = mix(docs, carry=("text", "lang", "n_chars")).where("taken > 0")
+    return got.withColumn("m_pass", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")))).select(*DOCUMENT_COLUMNS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
