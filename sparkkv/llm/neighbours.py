@@ -122,7 +122,7 @@ def fewest_probes(x: np.ndarray, parts: int, recall: float = RECALL, top: int =
     router = Router(x[rest] / length[rest], parts)
     if router.parts == 1:
         return router, 1
-    home = router.likeliest(x, 1)[:, 0]
+    home, top = router.likeliest(x, 1)[:, 0], min(top, len(x) - 1)
     hits = np.zeros((len(asked), router.parts))
     for lo in range(0, len(asked), 256):
         q = asked[lo : lo + 256]
