@@ -2,8 +2,8 @@
 
 Counts of all training tokens are gathered from the whole corpus. The most frequent tokens are the model's vocabulary, the rest are one symbol
 whose probability is shared out by smoothed counts, so the model gives every text a proper probability. It is trained by backpropagation
-through windows of WINDOW tokens, with the state carried on: first, on the driver, on a bounded sample of training documents, then on all of them.
-In each of ROUNDS rounds every task runs once over its share of a part of the documents, starting from the same weights, and the tasks' weights
+through windows of WINDOW tokens, with the state carried on: first, on the driver, on about START_PIECES pieces of PIECE tokens, drawn from all
+training documents by a hash, which only gives all tasks one start; then on all training documents. In each of ROUNDS rounds every task runs once over its share of a part of the documents, starting from the same weights, and the tasks' weights
 are averaged by their tokens. Every token of every training document is learnt from once in the rounds. A task lays its documents end to
 end and cuts them into lanes, so a document across the start of a lane begins there with a new state.
 Scoring runs the documents of a task side by side, window after window, and carries each document's state from its first to its last token.
@@ -14,6 +14,7 @@ The counts of frequent tokens (at most HOT) are broadcast. The other tokens meet
 from __future__ import annotations
 
 import copy
+import zlib
 from collections import Counter
 from itertools import repeat
 
@@ -28,18 +29,20 @@ from ._common import Scratch, most_frequent, table
 HOLD_OUT, HELD = 7, 2
 #: Most counts that are broadcast, and most bytes of a token among them.
 HOT, HOT_BYTES = 300_000, 64
-VOCABULARY = 4_096
-CLASSES = 64
-UNITS = 32
+VOCABULARY = 2_048
+CLASSES = 45
+UNITS = 16
 WINDOW = 32
 STREAMS = 64
 STEPS = 1_500
-#: Documents that the network starts on, about, and most tokens of one.
-TRAIN_DOCS, TRAIN_TOKENS = 2_000, 20_000
+#: Pieces that the network starts on, about, and tokens of one: at most about 5 MB that come to the driver.
+START_PIECES, PIECE = 5_000, 512
 #: Passes over a share each of all training documents, their first rate, streams side by side, and tokens that a task lays end to end.
-ROUNDS, RATE, LANES, LEARN_TOKENS = 3, 0.004, 256, 1_000_000
+ROUNDS, RATE, LANES, LEARN_TOKENS = 3, 0.006, 256, 1_000_000
 #: Tasks that sum the tasks' weights, so that as many rows at most come to the driver.
 SLOTS = 32
+#: Scores up to which exponentials and their sums stay finite in 32 bits.
+SAFE = 60.0
 #: Documents and tokens that a task runs side by side.
 POOL_DOCS, POOL_TOKENS = 3_000, 3_000_000
 #: The end of a text, as a token; no word is empty.
@@ -103,24 +106,29 @@ class Network:
             at += v.size
 
     def _loss(self, h: np.ndarray, goal: np.ndarray, grads: dict | None = None):
-        """Log-likelihood of each goal; with grads also the gradient of h, for the mean of the negative."""
+        """Log-likelihood of each goal; with grads also the gradient of h, for the mean of the negative.
+
+        A state's parts lie within -1 and 1, so a score is at most the sum of its weights' sizes and its bias; only beyond SAFE are scores moved below 0 first.
+        """
         p, n = self.p, len(h)
         s = h @ p["C"]
         s += p["c"]
-        s -= s.max(axis=1, keepdims=True)
+        if float((np.abs(p["C"]).sum(axis=0) + np.abs(p["c"])).max()) > SAFE or h.dtype != np.float32:
+            s -= s.max(axis=1, keepdims=True)
         label, rows = self.label[goal], np.arange(n)
         out = s[rows, label]
         e = np.exp(s, out=s)
-        total = e.sum(axis=1, keepdims=True)
-        out -= np.log(total[:, 0])
+        total = e @ np.ones(e.shape[1], e.dtype)
+        out -= np.log(total)
         order = np.argsort(label.astype(np.uint16), kind="stable")
         if grads is not None:
-            e *= 1 / (total * n)
+            e *= (1 / (total * n))[:, None]
             e[rows, label] -= 1 / n
-            grads["C"], grads["c"], dh = h.T @ e, e.sum(axis=0), e @ p["C"].T
+            grads["C"], grads["c"], dh = h.T @ e, np.ones(n, e.dtype) @ e, e @ p["C"].T
             back = np.zeros_like(dh)
         cuts = np.searchsorted(label[order], np.arange(len(self.edges))).tolist()
         xs, goals, inner = h[order], goal[order], np.zeros_like(out)
+        most = np.abs(p["O"]).sum(axis=1) + np.abs(p["o"])
         for c, (lo, hi) in enumerate(zip(self.edges[:-1].tolist(), self.edges[1:].tolist())):
             first, last = cuts[c], cuts[c + 1]
             if first == last or hi - lo == 1:
@@ -128,17 +136,18 @@ class Network:
             x = xs[first:last]
             s = x @ p["O"][lo:hi].T
             s += p["o"][lo:hi]
-            s -= s.max(axis=1, keepdims=True)
+            if most[lo:hi].max() > SAFE or h.dtype != np.float32:
+                s -= s.max(axis=1, keepdims=True)
             own, here = goals[first:last] - lo, rows[: last - first]
             inner[first:last] = s[here, own]
             e = np.exp(s, out=s)
-            total = e.sum(axis=1, keepdims=True)
-            inner[first:last] -= np.log(total[:, 0])
+            total = e @ np.ones(hi - lo, e.dtype)
+            inner[first:last] -= np.log(total)
             if grads is not None:
-                e *= 1 / (total * n)
+                e *= (1 / (total * n))[:, None]
                 e[here, own] -= 1 / n
                 grads["O"][lo:hi] += e.T @ x
-                grads["o"][lo:hi] += e.sum(axis=0)
+                grads["o"][lo:hi] += np.ones(last - first, e.dtype) @ e
                 np.matmul(e, p["O"][lo:hi], out=back[first:last])
         out[order] += inner
         if grads is not None:
@@ -286,11 +295,18 @@ def _ids(words, ids) -> np.ndarray:
     return np.fromiter((ids.get(w, 1) for w in words), np.int64, len(words))
 
 
-def _sample(vocabulary, most):
+def _sample(vocabulary, share):
+    """Pieces of the texts whose hash of (hash of the text, place) falls within ``share`` of 2^32."""
+
     def run(batches):
         ids = vocabulary.value
         for b in batches:
-            got = [_ids(w, ids).astype("<u2").tobytes() for w in (tokens(t.as_py()) for t in b.column(0)) if len(w) <= most]
+            got = []
+            for h, t in zip(b.column(0).to_pylist(), b.column(1)):
+                words = tokens(t.as_py())
+                for k in range(0, len(words), PIECE):
+                    if zlib.crc32(b"%d:%d" % (h, k)) < share:
+                        got.append(_ids(words[k : k + PIECE], ids).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary())], ["ids"])
 
     return run
@@ -418,9 +434,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
     network = None
     if ends:
         network = Network(np.array([ends, max(other, 1), *(n for _, n in words)], float))
-        share = int(min(1.0, TRAIN_DOCS / ends) * (1 << 20)) + 1
-        part = train.where(F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(1 << 20)) < share).select("text")
-        got = sorted(bytes(r.ids) for r in part.mapInArrow(_sample(spark.sparkContext.broadcast(ids), TRAIN_TOKENS), "ids binary").collect())
+        share = int(min(1.0, START_PIECES / (n_all / PIECE + ends)) * (1 << 32))  # at most so many pieces, the last of a document is short
+        part = train.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("h"), "text").mapInArrow(_sample(spark.sparkContext.broadcast(ids), share), "ids binary")
+        got = sorted(bytes(r.ids) for r in part.collect())
         np.random.default_rng(5).shuffle(got)
         streams = [b"".join(got[k::STREAMS]) for k in range(STREAMS)]
         streams = [np.concatenate([[0], np.frombuffer(s, "<u2")]).astype(np.int64) for s in streams if s]
