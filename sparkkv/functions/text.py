@@ -103,3 +103,13 @@ def memory_bytes(text: str) -> int:
     if not m:
         raise ValueError(f"not an amount of memory: {text!r}")
     return int(m[1]) * {"gb": 1 << 30, "mb": 1 << 20, "kb": 1 << 10}.get(m[2], 1)
+
+
+def epoch_ms(time: Column) -> Column:
+    """Whole milliseconds since 1970 of a time, as deadlines and replication records carry them."""
+    return F.unix_millis(time.cast("timestamp"))
+
+
+def epoch_seconds(time: Column) -> Column:
+    """Whole seconds since 1970 of a time, as messages carry them."""
+    return F.unix_seconds(time.cast("timestamp"))

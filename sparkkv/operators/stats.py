@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import approximate_size
@@ -57,11 +57,9 @@ def victims(trace: DataFrame, policy: str, n: int, ttl_keys: DataFrame | None =
         if ttl_keys is None:
             raise ValueError("volatile_lru needs the keys with a deadline")
         use = use.join(ttl_keys.select("key").distinct(), "key", "left_semi")
-    order = {"lru": ["last"], "volatile_lru": ["last"], "lfu": ["uses", "last"], "random": [F.xxhash64("key")]}[policy]
+    order = {"lru": ["last"], "volatile_lru": ["last"], "lfu": ["uses", "last"], "random": [F.md5(F.col("key").cast("binary"))]}[policy]
     first = use.orderBy(*order, "key").limit(n)
-    lead = [F.col(c) if isinstance(c, str) else c for c in order] + [F.col("key")]
-    listed = first.agg(F.array_sort(F.collect_list(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(lead)], F.col("key")))).alias("all"))
-    return listed.select(F.posexplode("all").alias("pos", "x")).select("x.key", (F.col("pos") + 1).alias("rank"))
+    return first.select("key", F.row_number().over(Window.orderBy(*order, "key")).alias("rank"))  # over n rows, streamed
 
 
 def must_refuse(policy: str, keys: int, max_keys: int, used: int, max_bytes: int) -> bool:

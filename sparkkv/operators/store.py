@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..plans.predicates import Columns, Condition, to_column
+from ..plans.predicates import Columns, Condition, Numbered, to_column
 from ..sources.adapters import StoreSpec, TextKey, few
 
 #: Most keys that a pattern scan gives before it refuses (fixed value).
@@ -31,7 +31,11 @@ class Bound:
 
 @dataclass(frozen=True)
 class KVStore:
-    """df has columns key and value, and _number beside a TextKey. Keys are unique: a table with several rows of a key is first folded (sources.oplog)."""
+    """df has columns key and value. Keys are unique: a table with several rows of a key is first folded (sources.oplog).
+
+    Beside a TextKey it also has _number, and _typed: true for rows whose key is made from their number. Both sides of a union have _typed as a literal, so a bound on the key is one
+    on the number, which reaches the scan, for the rows of the table, and one on the text for rows put later.
+    """
 
     df: DataFrame
     text_key: TextKey | None = None
@@ -46,21 +50,26 @@ class KVStore:
     def pairs(self) -> DataFrame:
         return self.df.select("key", "value")
 
+    def numbers(self) -> Numbered | None:
+        return Numbered(self.text_key.number, F.col("_number"), F.col("_typed")) if self.text_key else None
+
+    def _side(self, compare: Callable, value: object) -> Column:
+        """compare(column, literal) on the key: on its number where it has one and the value is of its form."""
+        text = compare(F.col("key"), F.lit(value))
+        of = self.numbers()
+        n = of.parse(value) if of and isinstance(value, str) else None
+        return text if n is None else of.choose(compare(of.column, F.lit(n)), text)
+
     def _at(self, key: object) -> Column:
-        if self.text_key and isinstance(key, str):
-            n = self.text_key.number(key)
-            if n is not None:
-                return F.col("_number") == n
-        return F.col("key") == F.lit(key)
+        return self._side(lambda a, b: a == b, key)
 
     def _range(self, low: Bound, high: Bound) -> Column:
         """On a TextKey, ends of its own form become ends of the number and reach the scan."""
         out = F.lit(True)
-        for end, wide, tight in ((low, "__ge__", "__gt__"), (high, "__le__", "__lt__")):
-            if end.value is not None:
-                n = self.text_key.number(end.value) if self.text_key and isinstance(end.value, str) else None
-                side, value = (F.col("key"), end.value) if n is None else (F.col("_number"), n)
-                out = out & getattr(side, wide if end.included else tight)(F.lit(value))
+        if low.value is not None:
+            out = out & self._side((lambda a, b: a >= b) if low.included else (lambda a, b: a > b), low.value)
+        if high.value is not None:
+            out = out & self._side((lambda a, b: a <= b) if high.included else (lambda a, b: a < b), high.value)
         return out
 
     def where(self, column: Column) -> "KVStore":
@@ -109,9 +118,9 @@ class KVStore:
     def keys(self, pattern: str, cap: int = KEYS_CAP) -> DataFrame:
         """Keys that match, in order. An error if there are more than ``cap``: it is raised when the result is computed, from at most cap + 1 rows."""
         top = self.where(X.glob(F.col("key").cast("string"), pattern)).df.select("key").orderBy("key").limit(cap + 1)
-        n = F.broadcast(top.agg(F.count("*").alias("n")))
+        top = top.withColumn("n", F.count("*").over(Window.partitionBy()))  # over at most cap + 1 rows
         guard = F.when(F.col("n") > cap, F.raise_error(F.lit(f"more than {cap} keys match")).cast("boolean")).otherwise(F.lit(True))
-        return top.join(n).where(guard).select("key").orderBy("key")
+        return top.where(guard).select("key").orderBy("key")
 
     def tagged(self, tags: DataFrame, tag: int) -> DataFrame:
         """Values of the keys with a tag, without the keys."""
@@ -129,7 +138,7 @@ class KVStore:
             text = X.index_text(F.col(name), kind)
             shown[name] = X.display_text(text) if name == "value" and isinstance(kind, T.StringType) else text
         native = {n: F.col(n) for n in ("key", "value") if isinstance(self._kind(n), (T.NumericType, T.BooleanType))}
-        return Columns(shown, native)
+        return Columns(shown, native, {"key": self.numbers()} if self.text_key else {})
 
     def filter(self, condition: Condition | Column | Callable) -> "KVStore":
         """By a condition, a Column, or a Python function (key, value) -> bool, which runs on Arrow batches."""
@@ -185,4 +194,11 @@ class KVStore:
         """Puts (key, value), or (seq, key, value) of which a key's last counts."""
         if "seq" in batch.columns:
             batch = batch.groupBy("key").agg(F.max_by("value", "seq").alias("value"))
-        return KVStore(self.pairs().join(batch.select("key"), "key", "left_anti").unionByName(batch.select("key", "value")))
+        kept = self.df.join(batch.select("key"), "key", "left_anti")
+        new = batch.select("key", "value")
+        if self.text_key:
+            kept = kept.select("key", "value", "_number", "_typed")
+            new = new.select("key", "value", F.lit(None).cast(self._kind("_number")).alias("_number"), F.lit(False).alias("_typed"))
+        else:
+            kept = kept.select("key", "value")
+        return replace(self, df=kept.unionByName(new))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -77,12 +78,25 @@ class Always(Condition):
     pass
 
 
+@dataclass(frozen=True)
+class Numbered:
+    """A text column made from a number: parse gives a literal's number or None; typed is false for rows whose text is not made so."""
+
+    parse: Callable
+    column: Column
+    typed: Column
+
+    def choose(self, on_number: Column, on_text: Column) -> Column:
+        return F.when(self.typed, on_number).otherwise(on_text)
+
+
 @dataclass(frozen=True)
 class Columns:
-    """What the fields of a condition stand for: text columns to match, and native columns to compare with literals of their own kind."""
+    """What the fields of a condition stand for: text columns to match, native columns to compare with literals of their own kind, and texts that are made from numbers."""
 
     text: dict = field(default_factory=dict)
     native: dict = field(default_factory=dict)
+    numbered: dict = field(default_factory=dict)
 
     def side(self, name: str, literal: object) -> Column:
         if name not in self.text:
@@ -114,8 +128,17 @@ def to_column(c: Condition, columns: Columns) -> Column:
     side = columns.side(c.field, "" if any(isinstance(x, str) for x in literals) else literals[0] if literals else "")
     text = c.field not in columns.native or any(isinstance(x, str) for x in literals)
     lits = [_literal(x, text) for x in literals]
+    on_text = _compared(c, side, lits, [str(x) if text else x for x in literals])
+    of = columns.numbered.get(c.field) if literals and all(isinstance(x, str) for x in literals) else None
+    numbers = [of.parse(x) for x in literals] if of else [None]
+    if None in numbers:
+        return on_text
+    return of.choose(_compared(c, of.column, [F.lit(n) for n in numbers], numbers), on_text)
+
+
+def _compared(c: Condition, side: Column, lits: list[Column], plain: list) -> Column:
     if isinstance(c, In):
-        return reduce(lambda a, b: a | b, (side == x for x in lits), F.lit(False)) if len(lits) < 8 else side.isin([str(x) if text else x for x in literals])
+        return reduce(lambda a, b: a | b, (side == x for x in lits), F.lit(False)) if len(lits) < 8 else side.isin(plain)
     if isinstance(c, Between):
         return side.between(*lits)
     return {"=": side.__eq__, "!=": side.__ne__, "<": side.__lt__, ">": side.__gt__, "<=": side.__le__, ">=": side.__ge__}[c.op](lits[0])

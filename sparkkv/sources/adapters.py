@@ -42,18 +42,13 @@ class StoreSpec:
 
     def columns(self, df: DataFrame) -> DataFrame:
         if isinstance(self.key, TextKey):
-            return df.select(self.key.text().alias("key"), F.col(self.value).alias("value"), F.col(self.key.column).alias("_number"))
+            return df.select(self.key.text().alias("key"), F.col(self.value).alias("value"), F.col(self.key.column).alias("_number"), F.lit(True).alias("_typed"))
         return df.select(F.col(self.key).alias("key"), F.col(self.value).alias("value"))
 
 
-#: Most rows of a frame of keys that is broadcast.
-FEW = 100_000
-
-
 def few(keys: DataFrame) -> DataFrame:
-    """Distinct keys, to be broadcast if there are at most FEW of them, which is counted first; more of them join by a shuffle."""
-    keys = keys.select("key").distinct()
-    return F.broadcast(keys) if keys.limit(FEW + 1).count() <= FEW else keys
+    """Distinct keys, to join by. Whether they are sent to all tasks is left to the planner, which goes by their size in bytes; more of them join by a shuffle."""
+    return keys.select("key").distinct()
 
 
 KEY_KINDS = (T.StringType, T.BinaryType, T.LongType, T.IntegerType, T.DecimalType)

@@ -1,24 +1,29 @@
 """A mutable store as an append-only log of operations, and its state as a fold over the log.
 
-ops(seq, op, key, value, tag, expires_at_ms). Only the order of operations on one key matters. Every fold is one grouped aggregation with
-conditional maxima, so the log is shuffled once, after partial aggregation, and no key's operations are gathered or sorted.
+ops(seq, op, key, value, tag, expires_at_ms). Only the order of operations on one key matters. A fold is grouped aggregations with conditional
+maxima, combined before their shuffle, and joins of operations with a row for each key. So that a key with very many operations does not
+land in one task, the sides of such a join are shuffled for the join itself (see ``_anew``), and adaptive execution splits that key.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import StoreConfig
 from ..functions import text as X
+from ..operators import stats
 from .adapters import few
 
 SCHEMA = "seq bigint, op string, key string, value string, tag bigint, expires_at_ms bigint"
-KINDS = ("put", "delete", "tag", "untag", "ttl_set", "ttl_remove", "incr")
-SHARDS = 16
+#: expire is the delete of a key whose deadline has passed; incr adds the number in value.
+KINDS = ("put", "delete", "expire", "tag", "untag", "ttl_set", "ttl_remove", "incr")
+ENDS = ("delete", "expire")
 
 
 def _upto(ops: DataFrame, as_of_seq: int | None) -> DataFrame:
@@ -30,30 +35,53 @@ def of_keys(ops: DataFrame, keys: DataFrame) -> DataFrame:
     return ops.join(few(keys), "key", "left_semi").select(*ops.columns)
 
 
-def _last(op: str) -> Column:
-    return F.coalesce(F.max(F.when(F.col("op") == op, F.col("seq"))), F.lit(-1))
+def _anew(df: DataFrame) -> DataFrame:
+    """The same keys as a new expression. What was grouped by key before counts as not yet laid out by it, so the join or the grouping that follows shuffles for itself:
+    only such joins does adaptive execution split where one key has most rows."""
+    return df.withColumn("key", F.concat("key", F.lit("")))
+
+
+def _last(*ops: str) -> Column:
+    return F.coalesce(F.max(F.when(F.col("op").isin(*ops), F.col("seq"))), F.lit(-1))
+
+
+def _step() -> Column:
+    bad = F.raise_error(F.concat(F.lit("not an integer: "), F.coalesce("value", F.lit("null")))).cast("bigint")
+    step = X.integer(F.col("value"))
+    return F.when(step.isNull(), bad).otherwise(step)
 
 
 def entries(ops: DataFrame, as_of_seq: int | None = None) -> DataFrame:
-    """(key, value) of the keys whose last put or delete is a put."""
-    rows = _upto(ops, as_of_seq).where(F.col("op").isin("put", "delete"))
-    last = rows.groupBy("key").agg(F.max_by(F.struct("op", "value"), "seq").alias("last"))
-    return last.where("last.op = 'put'").select("key", F.col("last.value").alias("value"))
+    """(key, value) of the keys that are there: the last put, and the steps of incr since; a missing key counts from 0.
+
+    A step that is no integer, a step on a text that is none, and overflow raise an error.
+    """
+    rows = _upto(ops, as_of_seq)
+    base = rows.where(F.col("op").isin("put", *ENDS)).groupBy("key").agg(F.max_by(F.struct("op", "value"), "seq").alias("last"), F.max("seq").alias("at"))
+    steps = rows.where("op = 'incr'").select("key", F.col("seq").alias("s"), _step().alias("step"))
+    live = steps.join(_anew(base.select("key", "at")), "key", "left").where("s > coalesce(at, -1)")
+    sums = _anew(live).groupBy("key").agg(F.sum("step").alias("steps"))
+    both = base.where("last.op = 'put'").select("key", F.col("last.value").alias("value"), F.lit(True).alias("there")).join(sums, "key", "full")
+    now = X.integer(F.when(F.col("there"), F.col("value")).otherwise(F.lit("0")))
+    bad = F.raise_error(F.concat(F.lit("not an integer: "), F.coalesce("value", F.lit("null")))).cast("bigint")
+    stepped = F.when(now.isNull(), bad).otherwise(now + F.col("steps")).cast("string")
+    return both.select("key", F.when(F.col("steps").isNull(), F.col("value")).otherwise(stepped).alias("value"))
 
 
 def _lives(ops: DataFrame) -> DataFrame:
-    """(key, born): the first put since the last delete; keys that are there now. Puts do not start a life anew."""
-    rows = ops.where(F.col("op").isin("put", "delete"))
-    ends = rows.groupBy("key").agg(_last("delete").alias("died"), _last("put").alias("put")).where("put > died")
-    puts = rows.where("op = 'put'").select("key", "seq")
-    return puts.join(ends.select("key", "died"), "key").where("seq > died").groupBy("key").agg(F.min("seq").alias("born"))
+    """(key, born): the first put or incr since the last delete; keys that are there now. Puts do not start a life anew."""
+    rows = ops.where(F.col("op").isin("put", "incr", *ENDS))
+    ends = rows.groupBy("key").agg(_last(*ENDS).alias("died"), _last("put", "incr").alias("put")).where("put > died")
+    puts = rows.where("op in ('put', 'incr')").select("key", "seq")
+    born = puts.join(_anew(ends.select("key", "died")), "key").where("seq > died")
+    return _anew(_anew(born).groupBy("key").agg(F.min("seq").alias("born")))
 
 
 def tags(ops: DataFrame, as_of_seq: int | None = None) -> DataFrame:
     """(key, tag) now set. A tag counts only if the key was there when it was set; a delete takes the tags away, a put does not."""
     rows = _upto(ops, as_of_seq)
     marks = rows.where(F.col("op").isin("tag", "untag")).select("key", "tag", "seq", "op")
-    live = marks.join(_lives(rows), "key").where("seq > born")
+    live = _anew(marks.join(_lives(rows), "key").where("seq > born"))
     last = live.groupBy("key", "tag").agg(F.max_by("op", "seq").alias("op"))
     return last.where("op = 'tag'").select("key", "tag")
 
@@ -62,7 +90,7 @@ def ttls(ops: DataFrame, as_of_seq: int | None = None) -> DataFrame:
     """(key, expires_at_ms) now set. A put keeps a deadline, a delete drops it."""
     rows = _upto(ops, as_of_seq)
     marks = rows.where(F.col("op").isin("ttl_set", "ttl_remove")).select("key", "seq", "op", "expires_at_ms")
-    live = marks.join(_lives(rows), "key").where("seq > born")
+    live = _anew(marks.join(_lives(rows), "key").where("seq > born"))
     last = live.groupBy("key").agg(F.max_by(F.struct("op", "expires_at_ms"), "seq").alias("last"))
     return last.where("last.op = 'ttl_set'").select("key", F.col("last.expires_at_ms").alias("expires_at_ms"))
 
@@ -86,10 +114,30 @@ def ttl_read(keys: DataFrame, ops: DataFrame, as_of_ms: int, unit_ms: int = 1000
     return left.select("key", F.when(F.col("there").isNull(), F.lit(-2)).when(F.col("expires_at_ms").isNull(), F.lit(-1)).otherwise(rest).cast("bigint").alias("ttl"))
 
 
+def rearmed(ops: DataFrame, as_of_ms: int) -> DataFrame:
+    """(key, expires_at_ms): the deadlines that a restart at ``as_of_ms`` sets again, those still to come."""
+    return ttls(ops).where(F.col("expires_at_ms") > as_of_ms)
+
+
 def sweep(ops: DataFrame, as_of_ms: int, next_seq: int) -> DataFrame:
-    """Delete operations for the keys whose deadline has passed, numbered from ``next_seq`` in key order within ranges."""
+    """Expire operations for the keys whose deadline has passed, numbered from ``next_seq`` in key order within ranges. Once they are in the log, the next sweep has none."""
     gone = entries(ops).join(expired(ttls(ops), as_of_ms), "key", "left_semi").select("key")
-    return _number(gone.select(F.lit("delete").alias("op"), "key"), next_seq)
+    return _number(gone.select(F.lit("expire").alias("op"), "key"), next_seq)
+
+
+def expire_returning(ops: DataFrame, batch: DataFrame, as_of_ms: int) -> DataFrame:
+    """(key, done): whether a deadline of a batch (key, expires_at_ms) is set, which it is on keys that can be seen."""
+    keys = batch.select("key").distinct()
+    there = visible(of_keys(ops, keys), as_of_ms).select("key", F.lit(True).alias("there"))
+    return keys.join(there, "key", "left").select("key", F.coalesce("there", F.lit(False)).alias("done"))
+
+
+def persist_returning(ops: DataFrame, keys: DataFrame, as_of_ms: int) -> DataFrame:
+    """(key, done): whether a deadline is there to be removed, on keys that can be seen."""
+    keys = keys.select("key").distinct()
+    mine = of_keys(ops, keys)
+    armed = visible(mine, as_of_ms).select("key").join(ttls(mine).select("key"), "key").select("key", F.lit(True).alias("there"))
+    return keys.join(armed, "key", "left").select("key", F.coalesce("there", F.lit(False)).alias("done"))
 
 
 def _number(rows: DataFrame, next_seq: int) -> DataFrame:
@@ -99,18 +147,6 @@ def _number(rows: DataFrame, next_seq: int) -> DataFrame:
     return rows.select((F.monotonically_increasing_id() + next_seq).alias("seq"), *cols)
 
 
-def incr(ops: DataFrame, as_of_seq: int | None = None) -> DataFrame:
-    """(key, value) under incr operations, whose value is the step: the last put's number, or 0, and the steps since. Text that is no integer, and overflow, raise an error."""
-    rows = _upto(ops, as_of_seq).where(F.col("op").isin("put", "delete", "incr"))
-    base = rows.where("op <> 'incr'").groupBy("key").agg(F.max_by(F.struct("op", "value"), "seq").alias("last"), F.max("seq").alias("at"))
-    steps = rows.where("op = 'incr'").select("key", F.col("seq").alias("s"), X.integer(F.col("value")).alias("step"))
-    sums = steps.join(base.select("key", "at"), "key", "left").where("s > coalesce(at, -1)").groupBy("key").agg(F.sum("step").alias("steps"))
-    both = base.where("last.op = 'put'").select("key", F.col("last.value").alias("value")).join(sums, "key", "full")
-    now = X.integer(F.coalesce("value", F.lit("0")))
-    stepped = F.when(now.isNull(), F.raise_error(F.concat(F.lit("not an integer: "), F.col("value"))).cast("bigint")).otherwise(now + F.col("steps"))
-    return both.select("key", F.when(F.col("steps").isNull(), F.col("value")).otherwise(stepped.cast("string")).alias("value"))
-
-
 def put_returning(ops: DataFrame, batch: DataFrame) -> DataFrame:
     """(key, previous): what each put of a batch (key, value) replaces; null for a new key."""
     return batch.select("key").distinct().join(entries(of_keys(ops, batch)).withColumnRenamed("value", "previous"), "key", "left")
@@ -170,19 +206,29 @@ class Batch:
 
 
 class OpLog:
-    """A folder with generations of Parquet logs, snapshots, and a manifest that names the current ones.
+    """A folder with a log of Parquet files by generation, snapshots, and a manifest that names the current ones.
+
+    Writers append files to the log, in the current generation's folder. A snapshot goes to a new folder first, and then one rename of the manifest makes it
+    current, with the next generation, so a reader sees the old state or the new one. The log stays one folder through all generations: a stream of it
+    goes on across snapshots. A single writer is assumed, as for the manifest, which also holds the largest number given: it is set before the rows are written.
 
-    Writers append files to the log. A snapshot goes to a new folder first, and then one rename of the manifest makes it current, so a reader sees the old
-    state or the new one. A single writer is assumed, as for the manifest.
+    ``config`` is kept in the manifest of a new log: its shards are the folders by the key's hash, its limits decide whether a put is refused and how
+    much is to be evicted, its seconds when a snapshot is due.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, config: StoreConfig | None = None):
         self.spark, self.path = spark, path.rstrip("/")
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._fs = self._hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if not self._fs.exists(self._p("manifest.json")):
             self._fs.mkdirs(self._hadoop.Path(self.path))
-            self._publish({"log": "log-0", "snapshot": None, "max_seq": -1})
+            self._publish({"generation": 0, "snapshot": None, "max_seq": -1, "last": -1, "snapshot_ms": 0, "config": (config or StoreConfig()).validate().dumps()})
+        self.config = StoreConfig.loads(self.manifest()["config"])
+
+    @property
+    def log_path(self) -> str:
+        """The folder that a stream of the log reads."""
+        return f"{self.path}/log"
 
     def _p(self, name: str):
         return self._hadoop.Path(f"{self.path}/{name}")
@@ -202,27 +248,45 @@ class OpLog:
 
     def ops(self) -> DataFrame:
         """Operations since the current snapshot."""
-        at = self._p(self.manifest()["log"])
+        at = self._p("log")
         if not self._fs.exists(at):
             return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(str(at)).select("seq", "op", "key", "value", "tag", "expires_at_ms")
+        rows = self.spark.read.schema(f"{SCHEMA}, generation int, shard int").parquet(str(at))
+        return rows.where(F.col("generation") >= self.manifest()["generation"]).select("seq", "op", "key", "value", "tag", "expires_at_ms")
 
     def last_seq(self) -> int:
-        m = self.manifest()
-        top = self.ops().agg(F.max("seq")).first()[0]
-        return max(m["max_seq"], -1 if top is None else top)
+        return self.manifest()["last"]
 
-    def append(self, ops: DataFrame) -> None:
-        """Numbered operations, by the hash of their key, compressed."""
-        rows = ops.select(*[F.col(c) for c in ("seq", "op", "key", "value", "tag", "expires_at_ms")]).withColumn("shard", F.pmod(F.hash("key"), F.lit(SHARDS)))
-        rows.write.option("compression", "zstd").partitionBy("shard").mode("append").parquet(f"{self.path}/{self.manifest()['log']}")
+    def append(self, ops: DataFrame, spread: int = 1) -> None:
+        """Numbered operations, by the hash of their key, compressed. A shard's rows are written by ``spread`` tasks; raise it for large batches."""
+        top = ops.agg(F.max("seq")).first()[0]
+        if top is None:
+            return
+        m = self.manifest()
+        self._publish(m | {"last": max(m["last"], top)})
+        rows = ops.select("seq", "op", "key", "value", "tag", "expires_at_ms").withColumn("generation", F.lit(m["generation"])).withColumn("shard", F.pmod(F.hash("key"), F.lit(self.config.shards)))
+        rows = rows.repartition("shard", F.pmod("seq", F.lit(spread)))
+        rows.write.option("compression", "zstd").partitionBy("generation", "shard").mode("append").parquet(self.log_path)
 
     def append_rows(self, rows: list) -> int:
+        """Refused under the policy none, if there is a limit and it is reached, should the rows put anything."""
+        if any(r[0] in ("put", "incr") for r in rows) and (self.config.max_keys or self.config.max_bytes) and self.pressure()["refuse"]:
+            raise MemoryError("the store is full, and its policy evicts nothing")
         if rows:
             at = self.last_seq() + 1
             self.append(self.spark.createDataFrame([(at + i, *r) for i, r in enumerate(rows)], SCHEMA))
         return len(rows)
 
+    def pressure(self) -> dict:
+        """keys, bytes, whether puts are refused, and how many bytes are to be evicted, by the settings."""
+        c, (keys, used) = self.config, stats.memory(entries(self.state())).first()
+        evict = 0 if c.eviction == "none" else stats.bytes_to_evict(used, c.max_bytes, c.evict_percent)
+        return {"keys": keys, "bytes": used, "refuse": stats.must_refuse(c.eviction, keys, c.max_keys, used, c.max_bytes), "evict": evict}
+
+    def snapshot_due(self, now_ms: int) -> bool:
+        """Whether ``snapshot_seconds`` have passed since the last snapshot; never with 0."""
+        return self.config.snapshot_seconds > 0 and now_ms - self.manifest()["snapshot_ms"] >= 1000 * self.config.snapshot_seconds
+
     def state(self) -> DataFrame:
         """The snapshot as operations before the log, and the log: what all folds run on."""
         m, ops = self.manifest(), self.ops()
@@ -235,27 +299,31 @@ class OpLog:
         lift = F.col("seq") + 3
         return e.unionByName(t).unionByName(d).unionByName(ops.where(F.col("seq") > m["max_seq"])).withColumn("seq", lift)
 
-    def snapshot(self) -> dict:
-        """Writes the folded state to a new generation and makes it current with an empty log."""
-        state, top, name = self.state(), self.last_seq(), uuid.uuid4().hex[:12]
+    def snapshot(self, now_ms: int | None = None) -> dict:
+        """Writes the folded state and makes it current, with a new generation of the log."""
+        state, m, name = self.state(), self.manifest(), f"snapshot-{uuid.uuid4().hex[:12]}"
         for part, df in (("entries", entries(state)), ("tags", tags(state)), ("ttls", ttls(state))):
-            df.write.option("compression", "zstd").parquet(f"{self.path}/snapshot-{name}/{part}")
-        self._publish({"log": f"log-{name}", "snapshot": f"snapshot-{name}", "max_seq": top})
+            df.write.option("compression", "zstd").parquet(f"{self.path}/{name}/{part}")
+        self._publish(m | {"generation": m["generation"] + 1, "snapshot": name, "max_seq": m["last"], "snapshot_ms": int(time.time() * 1000) if now_ms is None else now_ms})
         return self.manifest()
 
     def flush_all(self) -> None:
         """Every key goes: a new generation without entries."""
-        top, name = self.last_seq(), uuid.uuid4().hex[:12]
-        self._publish({"log": f"log-{name}", "snapshot": None, "max_seq": top})
+        m = self.manifest()
+        self._publish(m | {"generation": m["generation"] + 1, "snapshot": None, "max_seq": m["last"]})
 
-    def vacuum(self) -> int:
-        """Removes the generations that the manifest no longer names; gives their number."""
+    def vacuum(self, keep: int = 1) -> int:
+        """Removes old snapshots, and the generations before the last ``keep`` old ones, which streams of the log may still have to read; gives their number."""
         m, gone = self.manifest(), 0
-        for s in self._fs.listStatus(self._hadoop.Path(self.path)):
-            name = s.getPath().getName()
-            if name.startswith(("log-", "snapshot-")) and name not in (m["log"], m["snapshot"]):
-                self._fs.delete(s.getPath(), True)
-                gone += 1
+        old = [s.getPath() for s in self._fs.listStatus(self._hadoop.Path(self.path)) if s.getPath().getName().startswith("snapshot-") and s.getPath().getName() != m["snapshot"]]
+        if self._fs.exists(self._p("log")):
+            for s in self._fs.listStatus(self._p("log")):
+                name = s.getPath().getName()
+                if name.startswith("generation=") and int(name[11:]) < m["generation"] - keep:
+                    old.append(s.getPath())
+        for path in old:
+            self._fs.delete(path, True)
+            gone += 1
         return gone
 
     def report(self) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import glob, topic_matches
@@ -12,39 +12,70 @@ from ..sources.oplog import SCHEMA
 
 
 def read_log(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """The log's Parquet files as a stream; ``files_per_trigger`` is the back-pressure."""
-    reader = spark.readStream.schema(SCHEMA + ", shard int")
+    """The Parquet files of a log (OpLog.log_path) as a stream, through all its generations; ``files_per_trigger`` is the back-pressure."""
+    reader = spark.readStream.schema(SCHEMA + ", generation int, shard int")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path).drop("shard")
+    return reader.parquet(path).drop("generation", "shard")
 
 
 def change_feed(ops: DataFrame, *patterns: str) -> DataFrame:
-    """(seq, event, key, value) of puts (update), deletes and expiries (delete), each given once, for the keys that match any pattern. Works on streams and tables."""
-    event = F.when(F.col("op") == "put", "update").when(F.col("op").isin("delete", "expire"), "delete").when(F.col("op").isin("tag", "untag"), F.col("op"))
-    rows = ops.select("seq", event.alias("event"), "key", F.when(F.col("op") == "put", F.col("value")).alias("value"))
+    """(seq, event, key, value) of puts (update), deletes and expiries (delete), tags and counter steps (incr, with the step), each given once, for the keys that match any pattern. Works on streams and tables."""
+    op = F.col("op")
+    event = F.when(op == "put", "update").when(op.isin("delete", "expire"), "delete").when(op.isin("tag", "untag", "incr"), op)
+    rows = ops.select("seq", event.alias("event"), "key", F.when(op.isin("put", "incr"), F.col("value")).alias("value"))
     return rows.where(F.col("event").isNotNull() & glob(F.col("key"), *patterns))
 
 
+#: Lengths of the literal starts and ends by which keys and patterns meet.
+ANCHORS = (12, 4)
+
+
+def _anchor(pattern: Column) -> Column:
+    """What a matching key surely has: the whole key, or a start or an end of one of the lengths of ANCHORS; nothing where the pattern's literal parts are shorter."""
+    start, end = F.regexp_extract(pattern, r"(?s)^([^*?]*)", 1), F.regexp_extract(pattern, r"(?s)([^*?]*)\z", 1)
+    out = F.when(~pattern.rlike("[*?]"), F.concat(F.lit("="), pattern))
+    for n in ANCHORS:
+        out = out.when(F.length(start) >= n, F.concat(F.lit(f"{n}<"), F.substring(start, 1, n))).when(F.length(end) >= n, F.concat(F.lit(f"{n}>"), F.substring(end, -n, n)))
+    return out.otherwise(F.lit(""))
+
+
+def _anchors(key: Column) -> Column:
+    """All that a pattern which matches the key may have as its anchor."""
+    cuts = [F.when(F.length(key) >= n, F.concat(F.lit(f"{n}{side}"), F.substring(key, 1 if side == "<" else -n, n))) for n in ANCHORS for side in "<>"]
+    return F.array_compact(F.array(F.lit(""), F.concat(F.lit("="), key), *cuts))
+
+
 def deliver_changes(feed: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """(client, seq, event, key, value): changes for static subscriptions (client, pattern), once for each client. Patterns are globs."""
+    """(client, seq, event, key, value): changes for static subscriptions (client, pattern), once for each client. Patterns are globs. Works on streams and tables.
+
+    Keys and patterns meet by equal anchors, so a pattern is tried on the keys that have its literal start or end; only one without either meets all. A key that
+    several patterns of a client match is given for the first of them, which needs no state.
+    """
     regex = F.regexp_replace(F.col("pattern"), r"([\\.\[\]{}()+^$|])", r"\\$1")
     regex = F.concat(F.lit("(?s)^"), F.regexp_replace(F.regexp_replace(regex, r"\*", ".*"), r"\?", "."), F.lit(r"\z"))
-    subs = subscriptions.select("client", regex.alias("regex")).groupBy("client").agg(F.concat_ws("|", F.collect_set("regex")).alias("regex"))
-    return feed.join(F.broadcast(subs), F.rlike(F.col("key"), F.col("regex"))).select("client", "seq", "event", "key", "value")
+    subs = subscriptions.select("client", "pattern").distinct().select("client", _anchor(F.col("pattern")).alias("anchor"), regex.alias("regex"))
+    before = F.collect_list("regex").over(Window.partitionBy("client").orderBy("regex").rowsBetween(Window.unboundedPreceding, -1))
+    subs = subs.withColumn("earlier", F.concat_ws("|", before))
+    met = feed.withColumn("anchor", F.explode(_anchors(F.col("key")))).join(subs, "anchor")
+    first = F.rlike(F.col("key"), F.col("regex")) & ((F.col("earlier") == "") | ~F.rlike(F.col("key"), F.col("earlier")))
+    return met.where(first).select("client", "seq", "event", "key", "value")
 
 
 def deliver(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """(subscriber, topic, payload, timestamp) for messages (topic, payload, timestamp) and subscriptions (subscriber, pattern), once for each matching subscription.
 
-    Patterns without * meet their messages by an equality join. The others first meet by the number of segments. Only the topics that
-    occur are matched, once each, so messages are not multiplied by patterns that do not fit.
+    Patterns without * meet their messages by an equality join. The others meet the topics that occur, once each, by the number of segments and by their
+    first segment that is not *; those of * alone meet all topics of their length, and match them.
     """
     plain, wild = (subscriptions.where(c) for c in (~F.contains("pattern", F.lit("*")), F.contains("pattern", F.lit("*"))))
     exact = messages.join(plain.select("subscriber", F.col("pattern").alias("topic")), "topic").select("subscriber", "topic", "payload", "timestamp")
-    topics = messages.select("topic").distinct().withColumn("n", F.size(F.split("topic", r"\.")))
-    wild = wild.withColumn("n", F.size(F.split("pattern", r"\.")))
-    fits = topics.join(wild, "n").where(topic_matches(F.col("pattern"), F.col("topic"))).select("topic", "subscriber")
+    split = messages.select("topic").distinct().withColumn("all", F.split("topic", r"\."))
+    topics = split.select("topic", F.size("all").alias("n"), F.posexplode("all").alias("i", "part")).unionByName(split.select("topic", F.size("all").alias("n"), F.lit(-1).alias("i"), F.lit("").alias("part")))
+    of = F.split("pattern", r"\.")
+    i = F.coalesce(F.array_position(F.transform(of, lambda x: x != "*"), True) - 1, F.lit(-1)).cast("int")
+    wild = wild.select("subscriber", "pattern", F.size(of).alias("n"), i.alias("i"), F.when(i >= 0, F.get(of, i)).otherwise(F.lit("")).alias("part"))
+    fits = topics.join(wild, ["n", "i", "part"]).where(topic_matches(F.col("pattern"), F.col("topic"))).select("topic", "subscriber")
     return exact.unionByName(messages.join(fits, "topic").select("subscriber", "topic", "payload", "timestamp"))
 
 
@@ -72,7 +103,7 @@ def to_table(stream: DataFrame, checkpoint: str, path: str) -> DataFrame:
 
 
 def snapshot_every(ops: DataFrame, log, checkpoint: str) -> None:
-    """A snapshot after each batch of a stream of the log."""
+    """A snapshot after each batch of a stream of the log that brought operations; run again with the same checkpoint, it goes on with what was appended since."""
     collect_stream(ops, checkpoint, lambda df, n: log.snapshot() if not df.isEmpty() else None)
 
 
@@ -130,12 +161,12 @@ def expiry_stream(ops: DataFrame) -> DataFrame:
 def rate_limit(requests: DataFrame, rate: float = 1000.0, burst: float = 2000.0) -> DataFrame:
     """(client, at_ms, seq, allowed): a token bucket for each client over a stream or table of requests (client, at_ms, seq).
 
-    Each client starts with ``burst`` tokens and gains ``rate`` a second. On a stream the bucket is kept as state between batches.
+    Each client starts with ``burst`` tokens and gains ``rate`` a second. On a stream the bucket is kept as state between batches. On a table a client's requests
+    pass in order through one task, which holds one batch of them at a time.
     """
     import pandas as pd
 
     def spend(tokens, last, p):
-        p = p.sort_values(["at_ms", "seq"])
         out = []
         for at in p["at_ms"].tolist():
             tokens = min(burst, tokens + max(0, at - last) * rate / 1000.0)
@@ -144,15 +175,25 @@ def rate_limit(requests: DataFrame, rate: float = 1000.0, burst: float = 2000.0)
             tokens -= 1.0 if out[-1] else 0.0
         return tokens, last, p.assign(allowed=out)[["client", "at_ms", "seq", "allowed"]]
 
-    schema = "client string, at_ms bigint, seq bigint, allowed boolean"
+    def run(batches):
+        client = tokens = last = None
+        for p in batches:
+            for name, part in p.groupby("client", sort=False, dropna=False):  # sorted, so a client's rows are together
+                name = None if pd.isna(name) else name
+                if client is None or name != client[0]:
+                    client, tokens, last = (name,), burst, int(part["at_ms"].iloc[0])
+                tokens, last, out = spend(tokens, last, part)
+                yield out
+
+    schema, rows = "client string, at_ms bigint, seq bigint, allowed boolean", requests.select("client", "at_ms", "seq")
     if not requests.isStreaming:
-        return requests.select("client", "at_ms", "seq").groupBy("client").applyInPandas(lambda p: spend(burst, int(p["at_ms"].min()), p)[2], schema)
+        return rows.repartition("client").sortWithinPartitions("client", "at_ms", "seq").mapInPandas(run, schema)
 
     def step(key, batches, state):
-        p = pd.concat(list(batches))
+        p = pd.concat(list(batches)).sort_values(["at_ms", "seq"])
         tokens, last = state.get if state.exists else (burst, int(p["at_ms"].min()))
         tokens, last, out = spend(tokens, last, p)
         state.update((float(tokens), int(last)))
         yield out
 
-    return requests.select("client", "at_ms", "seq").groupBy("client").applyInPandasWithState(step, schema, "tokens double, last bigint", "append", "NoTimeout")
+    return rows.groupBy("client").applyInPandasWithState(step, schema, "tokens double, last bigint", "append", "NoTimeout")

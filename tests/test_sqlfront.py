@@ -108,3 +108,28 @@ def test_strict(spark):
 def test_parse_keeps_precedence():
     w = parse("SELECT * FROM t WHERE a = 1 OR b = 2 AND NOT c = 3 -- tail").where
     assert w.op == "or" and w.args[1].op == "and" and w.args[1].args[1].op == "not"
+
+
+def test_key_bounds_reach_the_scan_before_and_after_changes(spark, data):
+    from sparkkv.operators.store import Bound, KVStore
+    from sparkkv.plans import predicates as P
+    from sparkkv.sources.adapters import StoreSpec, TextKey
+
+    table = spark.read.parquet(f"{data}/orders.parquet")
+    session = SqlSession(spark, {"orders": KVStore.over(table, StoreSpec(TextKey("o_orderkey", "order:", 7), "o_orderstatus"))})
+    between = "SELECT key FROM orders WHERE key BETWEEN 'order:0000010' AND 'order:0000020'"
+
+    def pushed(df):
+        return [x for x in df._jdf.queryExecution().executedPlan().toString().split("PushedFilters: ")[1:] if "o_orderkey,10)" in x.split("]")[0]]
+
+    want = [f"order:{i:07d}" for i in range(10, 21)]
+    assert pushed(session.execute(between).df) and sorted(r.key for r in session.execute(between).df.collect()) == want
+    session.execute("INSERT INTO orders (key, value) VALUES ('order:0000015', 'new'), ('order:0000010x', 'odd')")
+    session.execute("DELETE FROM orders WHERE key = 'order:0000012'")
+    after = session.execute(between).df
+    changed = sorted({*want, "order:0000010x"} - {"order:0000012"})
+    assert pushed(after) and sorted(r.key for r in after.collect()) == changed
+    store = session.stores["orders"]
+    assert pushed(store.range(Bound("order:0000010"), Bound("order:0000020"))) and store.get("order:0000015").first().value == "new"
+    assert pushed(store.filter(P.Between("key", "order:0000010", "order:0000020")).pairs())
+    assert {r.key for r in store.filter(P.Between("key", "order:0000010", "order:0000020")).pairs().collect()} == set(changed)
