@@ -48,6 +48,10 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n, self.live = spark, f"{checkpoint_root(spark)}/llm-{uuid.uuid4().hex}", 0, set()
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)  # what results still read goes with the process
         if _made.get() is not None:
             _made.get().append(self)
 
