@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -28,15 +29,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder that the session names; a folder of this process only where none is named (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='llm-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-        atexit.register(__import__("shutil").rmtree, root[7:], True)
+        if "root" not in _own:
+            _own["root"] = tempfile.mkdtemp(prefix="llm-")
+            atexit.register(shutil.rmtree, _own["root"], True)
+        root = f"file://{_own['root']}"
     return root.rstrip("/")
 
 
