@@ -18,10 +18,10 @@ from ._common import DOCUMENT_COLUMNS, WORD, Scratch, table
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
 SEED = 20240611
-ROWS_PER_SLICE = 8_192
-LEAST_SLICES = 64
-#: Most ranges of the sort, and most places of a range that are summed in order in one task; more are sorted again.
-RANGES, IN_ORDER = 2_048, 1_000_000
+ROWS_PER_SLICE = 4_096
+LEAST_SLICES = 512
+#: Rows for each range of the sort, fewest and most ranges, and most places of a range that are summed in order in one task; more are sorted again.
+ROWS_PER_RANGE, LEAST_RANGES, RANGES, IN_ORDER = 8_192, 64, 2_048, 1_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -99,7 +99,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     extra = [F.col(c).alias(f"c_{c}") for c in carry]
     sizes = scratch.save(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("text_hash"), *extra))
     by, budget = targets(sizes, scratch, weights, cap)
-    slices = max(LEAST_SLICES, -(-sizes.count() // ROWS_PER_SLICE))
+    n = sizes.count()
+    slices, ranges = max(LEAST_SLICES, -(-n // ROWS_PER_SLICE)), min(max(LEAST_RANGES, -(-n // ROWS_PER_RANGE)), RANGES)
     keyed = sizes.withColumn("h", F.xxhash64("doc_id", "size", "text_hash", F.lit(seed)))
     keyed = keyed.withColumn("slice", F.pmod(F.shiftright("h", 20), F.lit(slices)).cast("long"))
     sums = keyed.groupBy("source", "slice").agg(F.sum("size").alias("words"))
@@ -111,7 +112,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     order = Window.partitionBy("place", "slice").orderBy("h", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
     names = [f"c_{c}" for c in carry]
     queue = scratch.save(queue.select("doc_id", "source", "size", "source_size", "target", (F.col("ahead") + F.sum("size").over(order)).alias("upto"), *names))
-    end = _end(queue, budget, cap, min(slices, RANGES), scratch, in_order)
+    end = _end(queue, budget, cap, ranges, scratch, in_order)
     scratch.drop_all_but(queue)
     passes = F.lit(0)
     for i in range(cap):
