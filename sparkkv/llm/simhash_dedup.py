@@ -16,6 +16,7 @@ larger than 256. Nothing is capped or dropped, and a task holds at most BUCKET n
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,6 +32,8 @@ SHINGLE = 3
 BUCKET = 2048
 #: Fingerprints of the pipeline stage.
 STAGE_PRINTS = 8
+#: The pipeline stage confirms what the fingerprints link: words of a shingle, least Jaccard similarity, texts of a block.
+CONFIRM_SHINGLE, SIMILARITY, BLOCK = 5, 0.8, 32
 _BLOCK = 1 << 16
 
 
@@ -44,23 +47,27 @@ def _remix(h: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(raw: bytes | None, shingle: int = SHINGLE, prints: int = 1) -> np.ndarray:
-    """64-bit SimHashes of a whole text; 0 without words."""
+def _hashes(raw: bytes | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of a whole text's shingles, repeats included, a block at a time; nothing without words."""
     words = raw.lower().split() if raw else []
     n = len(words)
-    if not n:
-        return np.zeros(prints, "<u8")
-    counts, m = np.zeros((prints, 64), np.int64), max(1, n - shingle + 1)
     digest = xxhash.xxh64_intdigest
-    for lo in range(0, m, _BLOCK):
+    for lo in range(0, max(1, n - shingle + 1) if n else 0, _BLOCK):
         part = words[lo : lo + _BLOCK + shingle - 1]
         text = b" ".join(part)
         if n <= shingle:
-            h = np.array([digest(text, 42)], "<u8")
+            yield np.array([digest(text, 42)], "<u8")
         else:
             ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1) - 1
             starts = [0, *(ends[: len(part) - shingle] + 1).tolist()]
-            h = np.array([digest(text[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())], "<u8")
+            yield np.array([digest(text[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())], "<u8")
+
+
+def fingerprints(raw: bytes | None, shingle: int = SHINGLE, prints: int = 1) -> np.ndarray:
+    """64-bit SimHashes of a whole text; 0 without words."""
+    counts, m = np.zeros((prints, 64), np.int64), 0
+    for h in _hashes(raw, shingle):
+        m += len(h)
         for k in range(prints):
             counts[k] += np.unpackbits(_remix(h, k).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(counts * 2 > m, axis=1, bitorder="little").view("<u8").ravel()
@@ -246,20 +253,110 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select("doc_id", "fp").join(classes, "fp").select("doc_id", text, F.col("first.doc_id").alias("component_id"))
 
 
+def _first_of_linked(sets: list[np.ndarray], similarity: float) -> list[int]:
+    """For each set the first that it is linked with, over any number of pairs of at least that Jaccard similarity; two empty sets are alike."""
+    label = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if label[i] == label[j] or min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+                continue
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if both >= similarity * (len(a) + len(b) - both) - 1e-9:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def _confirmed(shingle: int, similarity: float):
+    """Rows (class_, block, more, without_id, doc_id, text_hash, text) sorted by all but ``more``; the rows of a block are judged together.
+
+    Gives their keys and whether a row ahead in the block is linked with it (``goes``), and the text again of those of which none is, where ``more`` says
+    that its class has other blocks.
+    """
+
+    def judged(rows):
+        sets = [np.unique(np.concatenate([np.empty(0, "<u8"), *_hashes(r["text"], shingle)])) for r in rows]
+        for i, (r, first) in enumerate(zip(rows, _first_of_linked(sets, similarity))):
+            yield r | {"goes": first != i, "text": r["text"] if first == i and r["more"] else None}
+
+    def run(batches):
+        held, schema = [], None
+        for b in batches:
+            schema = schema or pa.schema([f for f in b.schema if f.name != "more"] + [pa.field("goes", pa.bool_())])
+            for at in range(0, b.num_rows, 256):
+                out = []
+                for r in b.slice(at, 256).to_pylist():
+                    if held and (held[0]["class_"], held[0]["block"]) != (r["class_"], r["block"]):
+                        out += judged(held)
+                        held = []
+                    held.append(r)
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+        if held:
+            yield pa.RecordBatch.from_pylist(list(judged(held)), schema)
+
+    return run
+
+
+def confirm(texts: DataFrame, scratch: Scratch, shingle: int = CONFIRM_SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(doc_id, text_hash) of the texts that go, from the different texts (class_, n, without_id, doc_id, text_hash, text) of classes of n > 1.
+
+    A text goes only where pairs of at least ``similarity``, each computed exactly, link it with a text ahead of it, by id, then hash. A class of at most two blocks is
+    judged whole. Of a larger one the texts are dealt by hash to blocks of about ``block``, and those that stay are dealt again until a round halves
+    their number no more; then every two blocks of them meet. So no two texts that stay in a class are that similar; of a larger class a text may
+    stay that only texts which went would link. A group of copies costs about one comparison a text, and only texts that differ from each other, yet share a
+    class, are copied: once for every ``block`` of them.
+    """
+    keys = ["without_id", "doc_id", "text_hash"]
+    kinds = "class_ long, block long, without_id boolean, doc_id long, text_hash long, text binary, goes boolean"
+    gone, turn, pairs = None, 0, False
+    todo = texts.withColumn("was", F.lit(None).cast("long"))
+    while True:
+        blocks = F.ceil(F.col("n") / block)
+        at = F.pmod(F.xxhash64("text_hash", F.lit(turn)), blocks)
+        stuck = F.coalesce(F.col("n") * 2 > F.col("was"), F.lit(False))
+        each = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda i: F.least(i, at) * blocks + F.greatest(i, at))
+        to = F.when(F.col("n") <= 2 * block, F.array(F.lit(0).cast("long"))).when(stuck, each).otherwise(F.array(at))
+        more = (F.col("n") > 2 * block) & ~stuck
+        rows = todo.select("class_", F.explode(to).alias("block"), more.alias("more"), *keys, "text").repartition("class_", "block").sortWithinPartitions("class_", "block", *keys)
+        got = scratch.save(rows.mapInArrow(_confirmed(shingle, similarity), kinds))
+        new = got.where("goes").select("doc_id", "text_hash")
+        gone = new if gone is None else gone.union(new)
+        stay = got.where("text is not null")
+        if stay.isEmpty():
+            return gone.distinct()
+        sizes = scratch.save(stay.groupBy("class_").agg(F.count("*").alias("n")))
+        was = todo.select("class_", F.col("n").alias("was")).distinct()
+        todo = scratch.save(stay.select("class_", *keys, "text").join(sizes, "class_").join(scratch.save(was), "class_"))
+        turn += 1
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one row of each component stays, that with the smallest id, then the smallest hash of its text; a row without an id only if none of its component has one.
+    """Pipeline stage: one row of each group stays, that with the smallest id, then the smallest hash of its text; a row without an id only if none of its group has one.
 
-    Rows are told apart by id and text, so texts that share an id are judged each for itself; rows that agree in both are copies, of which
-    one stays. All texts without words are one component. Extra columns are left out. An empty table stays empty.
+    The fingerprints only propose: within their components, groups are the texts that ``confirm`` links, by a Jaccard similarity of SIMILARITY or more on shingles of
+    CONFIRM_SHINGLE words (of the whole text, if it has fewer). Rows are told apart by id and text, so texts that share an id are judged each for itself; of rows with
+    equal texts one stays. All texts without words are one group. Extra columns are left out. An empty table stays empty. Very long texts are
+    read whole; a task holds the shingles of one block of texts at a time.
 
     The join that brings the verdicts back to the texts is pinned to a sort-merge join: its kept side grows with the table, so it could be broadcast only on
     small tables, and one plan at every size is easier to foresee.
     """
+    scratch = Scratch(spark)
     docs = docs.select(*DOCUMENT_COLUMNS).withColumn("text_hash", F.xxhash64("text"))
-    classes = _classes(docs, Scratch(spark), "doc_id", "text", SHINGLE, BUCKET, STAGE_PRINTS)[1]
-    keep = classes.select(F.col("first.doc_id").alias("keep_id"), F.col("first.text_hash").alias("keep_hash")).distinct()
+    rows, classes = _classes(docs, scratch, "doc_id", "text", SHINGLE, BUCKET, STAGE_PRINTS)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("without_id"), "doc_id"))
+    texts = rows.groupBy("fp", "text_hash").agg(least.alias("least")).join(classes, "fp")
+    texts = scratch.save(texts.select(F.xxhash64("first.doc_id", "first.text_hash").alias("class_"), F.col("least.doc_id").alias("keep_id"), F.col("text_hash").alias("keep_hash")))
+    sizes = scratch.save(texts.groupBy("class_").agg(F.count("*").alias("n")))
+    keep = texts.join(sizes, "class_")
     on = docs["doc_id"].eqNullSafe(keep["keep_id"]) & (docs["text_hash"] == keep["keep_hash"])
-    return docs.join(keep.hint("merge"), on, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select(*DOCUMENT_COLUMNS)
+    once = scratch.save(docs.join(keep.hint("merge"), on).drop("keep_id", "keep_hash").dropDuplicates(["doc_id", "text_hash"]))
+    several = once.where("n > 1")
+    gone = confirm(several.select("class_", "n", F.col("doc_id").isNull().alias("without_id"), F.col("doc_id").cast("long").alias("doc_id"), "text_hash", F.col("text").cast("binary").alias("text")), scratch)
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    on = several["doc_id"].eqNullSafe(gone["gone_id"]) & (several["text_hash"] == gone["gone_hash"])
+    return once.where("n = 1").select(*DOCUMENT_COLUMNS).union(several.join(gone, on, "left_anti").select(*DOCUMENT_COLUMNS))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

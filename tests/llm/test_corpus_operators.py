@@ -696,6 +696,69 @@ def test_stages_keep_every_row_apart(spark):
     assert sum((mixed[k] for k in mixed if k[0] is None)) == sum(v for k, v in want.items() if k[0] is None) > 0
 
 
+def five_words(text):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def slow_labels(texts_):
+    """The first of the texts that pairs of a similarity of 0.8 or more reach."""
+    sets, label = [five_words(t) for t in texts_], list(range(len(texts_)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if alike(sets[i], sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("block", [32, 3])
+def test_links_are_confirmed_on_five_words(spark, block):
+    """Classes judged whole equal all pairs; larger ones, with a group of copies and many texts that differ, keep no two alike and lose none without a text like it."""
+    rows = [(i // 24, 24, False, i, i, t) for i, t in near_texts(96)]
+    rng = random.Random(3)
+    base = [f"v{i}" for i in range(300)]
+    for i in range(40):
+        copy = list(base)
+        copy[rng.randrange(300)] = "x"
+        rows.append((7, 80, False, 500 + i, 500 + i, " ".join(copy)))
+    rows += [(7, 80, i % 2 == 1, None if i % 2 else 600 + i, 600 + i, " ".join(f"u{i}n{k}" for k in range(9))) for i in range(40)]
+    df = spark.createDataFrame(rows, "class_ long, n long, without_id boolean, doc_id long, text_hash long, text string").withColumn("text", F.col("text").cast("binary"))
+    gone = {r.text_hash for r in simhash_dedup.confirm(df, simhash_dedup.Scratch(spark), block=block).collect()}
+    for c in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == c), key=lambda r: (r[2], r[3] or -1, r[4]))
+        label = slow_labels([r[5] for r in mine])
+        if len(mine) <= 2 * block:
+            assert {r[4] for r in mine} & gone == {r[4] for i, r in enumerate(mine) if label[i] != i}
+        stay = [i for i, r in enumerate(mine) if r[4] not in gone]
+        sets = [five_words(r[5]) for r in mine]
+        assert not any(alike(sets[i], sets[j]) for i in stay for j in stay if j < i)
+        assert {label[i] for i in stay} == set(label)
+    assert len([r for r in rows if r[0] == 7 and r[4] not in gone]) == 41
+
+
+def test_near_duplicate_stage_takes_no_text_without_a_similar_one(spark):
+    """Of the whole table, each text that goes has one of its component with a five-word similarity of 0.8 or more, and equal texts go."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = simhash_dedup.stage(spark, docs, "").collect()
+    there = {r.text for r in kept}
+    assert len(kept) == len(there) and {r.doc_id for r in kept} >= {min(r.doc_id for r in g) for t, g in by_text(docs).items() if t in there}
+    sets = {t: five_words(t) for t in by_text(docs)}
+    for t in sets.keys() - there:
+        assert any(alike(sets[t], sets[u]) for u in sets if u != t and len(sets[u]) <= 2 * len(sets[t]) + 1)
+
+
+def by_text(docs):
+    out = defaultdict(list)
+    for r in docs.collect():
+        out[r.text].append(r)
+    return out
+
+
 def slow_mix(rows, weights=(5, 2, 1), cap=3):
     """(text, passes) by a plain queue: all places by virtual finish time, while their words stay within the budget."""
     sizes = Counter()
@@ -766,7 +829,7 @@ def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
     judged = quality.stage(spark, docs, f"{tmp_path}/0")
     assert judged.columns == columns and Counter(map(tuple, judged.collect())) == rows  # all labels are 1
     unique = [r.text for r in simhash_dedup.stage(spark, docs, "").collect()]
-    assert len(unique) == 4 and sum(not (t or "").split() for t in unique) == 1
+    assert len(unique) == 5 and sum(not (t or "").split() for t in unique) == 1
     cut = Counter((r.doc_id, r.lang, r.source) for r in substring_dedup.stage(spark, docs, "").collect())
     assert cut == Counter((r[0], r[2], r[3]) for r in rows.elements())
     assert all(tuple(r) in rows for r in source_mixing.stage(spark, docs, "").collect())
