@@ -51,16 +51,19 @@ class WordTokens:
 
     The tokenizer drops white space, lower-cases, and splits letters, digits and other signs from each other; no token spans such a split. So a text's ids
     are those of its parts between ASCII white space in turn, which can also be cut where a sign follows a letter or digit. Parts
-    seen before are looked up in two tables, of which the older is dropped when the newer is full. New parts are encoded as one text, with a
-    sign between them whose id no other part has. Texts that hold this sign or may hold special tokens are encoded as they are.
+    seen before are looked up in two tables, of which the older is dropped when the newer holds ``most`` bytes; one call's parts may go beyond that. New
+    parts are encoded as one text, with a sign between them whose id no other part has. Texts that hold this sign or may hold special tokens are
+    encoded as they are.
     """
 
     MARK = b"\x01"
+    #: Bytes of an entry besides its part and ids: two objects and a place in the table.
+    ENTRY = 170
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 64 << 20):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.new, self.old, self.most = Tokenizer.from_file(path), {}, {}, most
+        self.tokenizer, self.new, self.old, self.held, self.most = Tokenizer.from_file(path), {}, {}, 0, most
         self.mark = self._ids(self.MARK)
 
     def _ids(self, raw: bytes) -> np.ndarray:
@@ -70,7 +73,9 @@ class WordTokens:
         """Adds parts to the newer table, but for very long ones, which it gives."""
         new, old = self.new, self.old
         long = {p: self._ids(p).tobytes() for p in fresh if len(p) > 4096}
-        new.update({p: old[p] for p in fresh if p in old})
+        again = {p: old[p] for p in fresh if p in old}
+        new.update(again)
+        self.held += sum(map(len, again)) + sum(map(len, again.values())) + self.ENTRY * len(again)
         want = [p for p in fresh if p not in new and p not in long]
         if want:
             ids = self._ids((b"\n" + self.MARK + b"\n").join(want))
@@ -79,13 +84,14 @@ class WordTokens:
             whole = ids.tobytes()
             lows, highs = [0, *(4 * ends + 4).tolist()], [*(4 * ends).tolist(), len(whole)]
             new.update(zip(want, [whole[a:b] for a, b in zip(lows, highs)]))
+            self.held += sum(map(len, want)) + len(whole) - 4 * len(ends) + self.ENTRY * len(want)
         return long
 
     def __call__(self, raws: list[bytes]) -> list[np.ndarray]:
         plain = [b"<|" not in raw and self.MARK not in raw for raw in raws]
         texts = [_cut(raw) if ok else [] for raw, ok in zip(raws, plain)]
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
+        if self.held > self.most:
+            self.old, self.new, self.held = self.new, {}, 0
         seen = self.new
         fresh = set().union(*texts).difference(seen)
         if fresh:
@@ -223,8 +229,8 @@ def _place(runs):
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """A row for every piece: doc_id, piece, start, ids_crc32, length, sequence_id, offset.
 
-    A null or empty text is the end id alone. A longer document is cut into pieces of ``capacity`` ids. Rows repeat as often as they come
-    in; a null id stays null. Other columns are not read. An empty table gives an empty result.
+    A null or empty text is the end id alone. A longer document, however long, is cut into pieces of ``capacity`` ids. Rows repeat as often as they come
+    in; a null id stays null. Pieces that tie in length take places by a hash, then by id. Other columns, whatever their names, are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -244,7 +250,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: the pieces and their sequences."""
+    """Last pipeline stage: the pieces and their sequences, of each row for itself; odd rows as in ``pack``."""
     return pack(docs)
 
 
