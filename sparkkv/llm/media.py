@@ -83,9 +83,19 @@ def _netpbm(data: bytes) -> np.ndarray:
     return values.reshape((h, w, 3) if depth == 3 else (h, w))
 
 
+def _channel(pixels: np.ndarray, mask: int) -> np.ndarray:
+    """The samples that a mask of adjoining bits picks, at 8 bits."""
+    shift = (mask & -mask).bit_length() - 1
+    most = mask >> max(shift, 0)
+    if not mask or most & (most + 1):
+        raise ValueError("the bits of a colour do not adjoin")
+    return (((pixels & mask) >> shift) * 255 + most // 2) // most
+
+
 def _bmp(data: bytes) -> np.ndarray:
+    """8 bits with a palette, 24 or 32 bits as blue, green, red, and 32 bits with a mask for each colour; a fourth channel is left out."""
     start, size, w, h, _, bits, packed = struct.unpack_from("<10xIIiiHHI", data)
-    if packed not in (0, 3) or bits not in (8, 24, 32) or w <= 0:
+    if (packed, bits) not in ((0, 8), (0, 24), (0, 32), (3, 32)) or w <= 0 or size < 40:
         raise ValueError("this kind of BMP is not supported")
     step = -(-w * bits // 32) * 4
     rows = np.frombuffer(data, np.uint8, step * abs(h), start).reshape(abs(h), step)[:, : w * bits // 8]
@@ -94,6 +104,9 @@ def _bmp(data: bytes) -> np.ndarray:
         colours = struct.unpack_from("<46xI", data)[0] or 256
         palette = np.frombuffer(data, np.uint8, colours * 4, 14 + size).reshape(-1, 4)[:, 2::-1]
         return palette[rows]
+    if packed == 3:
+        pixels = np.ascontiguousarray(rows).view("<u4").astype(np.int64)
+        return np.stack([_channel(pixels, m) for m in struct.unpack_from("<54xIII", data)], axis=2).astype(np.uint8)
     return np.ascontiguousarray(rows.reshape(abs(h), w, bits // 8)[:, :, 2::-1])
 
 
@@ -178,7 +191,8 @@ def _features(with_bytes):
 def media_features(docs: DataFrame, id_col: str = "doc_id", data_col: str = "text", with_bytes: bool = False) -> DataFrame:
     """A row for every row: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; with_bytes also media and tile (NPY).
 
-    A null or empty value is one unit of bytes 255. Equal values give equal columns. Null ids stay null. Other columns are not read.
+    A null or empty value is one unit of bytes 255. Equal values give equal columns, so repeated rows do. Null ids stay null. Very long values are stored and read
+    back whole, one at a time. Other columns, whatever their names, are not read. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(data_col).cast("binary").alias("data"))
     kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -206,7 +220,7 @@ def _tiles(side):
 
 
 def image_tiles(images: DataFrame, id_col: str, data_col: str, side: int = TILE) -> DataFrame:
-    """(id, width, height, tile, dhash) of Netpbm or BMP bytes; nulls beside the id where the bytes are null or not a whole image."""
+    """(id, width, height, tile, dhash) of Netpbm or BMP bytes; nulls beside the id where the bytes are null or not a whole image. An empty table stays empty."""
     rows = images.select(F.col(id_col).cast("string").alias("id"), F.col(data_col).cast("binary").alias("data"))
     return rows.mapInArrow(_tiles(side), "id string, width int, height int, tile binary, dhash string")
 
