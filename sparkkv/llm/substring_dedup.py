@@ -414,7 +414,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Windows are judged on all rows as they came in; each row counts, so of repeated rows every window is
     repeated. A null or empty text has no words; kept is then the text itself, and so it is where nothing goes. A text
-    of fewer than ``window`` words has no window. Null ids stay null. Windows of at most 63 + 8 words.
+    of fewer than ``window`` words has no window; a very long text is read whole. Null ids stay null. Columns besides those named are not read, and those of
+    ``carry`` come back as they are, so they may have no name of a result column. An empty table gives an empty result. Windows of at most 63 + 8 words.
     """
     if not gram <= window <= gram + 55:
         raise ValueError("a segment's windows must fit a mask of 63 bits")
@@ -432,7 +433,10 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: repeated passages leave the texts; n_chars follows the text. No row goes."""
+    """Pipeline stage: repeated passages leave the texts; n_chars follows the text. No row goes.
+
+    Odd rows as in ``cut_repeats``: null and empty texts stay what they are, repeated rows lose all windows of theirs, extra columns are left out.
+    """
     got = cut_repeats(docs, carry=("lang", "source", "n_chars"), with_text=True)
     text = F.col("kept").cast("string")
     chars = F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
