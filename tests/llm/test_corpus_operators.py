@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -241,6 +242,18 @@ def test_packing(spark, data):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_the_token_tables_are_bounded_by_bytes():
+    rng = random.Random(4)
+    draw = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    docs = [" ".join([draw(3000), draw(5), draw(5000), "again."]).encode() for _ in range(60)]
+    small, large = packing.WordTokens(packing.tokenizer_path(), most=20_000), packing.WordTokens(packing.tokenizer_path())
+    for d in docs + docs[:20]:
+        assert (small([d])[0] == large([d])[0]).all()
+        held = [sum(len(k) + len(v) + small.ENTRY for k, v in t.items()) for t in (small.new, small.old)]
+        assert small.held == held[0] and max(held) < 20_000 + 20_000  # the bound and one call's parts
+    assert len(large.new) > 100
+
+
 def test_packing_plan_holds_every_piece_once():
     rng = random.Random(2)
     for _ in range(200):
@@ -638,6 +651,19 @@ def test_media_round_trips(spark):
     assert np.load(io.BytesIO(tiles["a"].tile)).shape == (16, 16)
 
 
+@pytest.mark.parametrize("masks", [(0xFF0000, 0xFF00, 0xFF), (0xFF, 0xFF00, 0xFF0000), (0xFF000000, 0xFF0000, 0xFF00), (0x3FF, 0xFFC00, 0x3FF00000)])
+def test_bmp_masks_name_the_colours(masks):
+    c = np.random.default_rng(2).integers(0, 256, (5, 7, 3))
+    pixels = np.zeros((5, 7), np.int64)
+    for k, m in enumerate(masks):
+        most = m // (m & -m)
+        pixels |= (c[:, :, k] * most + 127) // 255 * (m & -m)
+    head = b"BM" + struct.pack("<IHHIIiiHHIIiiIIIII", 66 + 140, 0, 0, 66, 40, 7, -5, 1, 32, 3, 140, 0, 0, 0, 0, *masks)
+    assert (media.decode(head + pixels.astype("<u4").tobytes()) == c).all()
+    for bad in ((0, 0xFF00, 0xFF), (0xF0F, 0xFF0000, 0xFF000000)):
+        assert media.decode(head[:54] + struct.pack("<III", *bad) + pixels.astype("<u4").tobytes()) is None
+
+
 def test_media_features(spark):
     df = odd_docs(spark)
     got = media.media_features(df, with_bytes=True).collect()
