@@ -343,17 +343,19 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small tables, and one plan at every size is easier to foresee.
     """
     scratch = Scratch(spark)
-    docs = docs.select(*DOCUMENT_COLUMNS).withColumn("text_hash", F.xxhash64("text"))
+    docs = docs.select(*DOCUMENT_COLUMNS)
     rows, classes = _classes(docs, scratch, "doc_id", "text", SHINGLE, BUCKET, STAGE_PRINTS)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("without_id"), "doc_id"))
     texts = rows.groupBy("fp", "text_hash").agg(least.alias("least")).join(classes, "fp")
-    texts = scratch.save(texts.select(F.xxhash64("first.doc_id", "first.text_hash").alias("class_"), F.col("least.doc_id").alias("keep_id"), F.col("text_hash").alias("keep_hash")))
+    texts = scratch.save(texts.select(F.xxhash64("first.doc_id", "first.text_hash").alias("class_"), F.col("least.doc_id").alias("keep_id"), "text_hash"))
     sizes = scratch.save(texts.groupBy("class_").agg(F.count("*").alias("n")))
-    keep = texts.join(sizes, "class_")
-    on = docs["doc_id"].eqNullSafe(keep["keep_id"]) & (docs["text_hash"] == keep["keep_hash"])
-    once = scratch.save(docs.join(keep.hint("merge"), on).drop("keep_id", "keep_hash").dropDuplicates(["doc_id", "text_hash"]))
+    # repeated rows are combined before they move, and keys without nulls let the join take them from where that left them
+    key = ["without_id", "key_id", "text_hash"]
+    keyed = docs.select("*", F.col("doc_id").isNull().alias("without_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("key_id"), F.xxhash64("text").alias("text_hash"))
+    keep = texts.join(sizes, "class_").select(F.col("keep_id").isNull().alias("without_id"), F.coalesce("keep_id", F.lit(0)).cast("long").alias("key_id"), "text_hash", "class_", "n")
+    once = scratch.save(keyed.dropDuplicates(key).join(keep.hint("merge"), key))
     several = once.where("n > 1")
-    gone = confirm(several.select("class_", "n", F.col("doc_id").isNull().alias("without_id"), F.col("doc_id").cast("long").alias("doc_id"), "text_hash", F.col("text").cast("binary").alias("text")), scratch)
+    gone = confirm(several.select("class_", "n", "without_id", F.col("doc_id").cast("long").alias("doc_id"), "text_hash", F.col("text").cast("binary").alias("text")), scratch)
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
     on = several["doc_id"].eqNullSafe(gone["gone_id"]) & (several["text_hash"] == gone["gone_hash"])
     return once.where("n = 1").select(*DOCUMENT_COLUMNS).union(several.join(gone, on, "left_anti").select(*DOCUMENT_COLUMNS))
