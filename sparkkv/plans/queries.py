@@ -548,7 +548,7 @@ SELECT client, at_ms, seq, had >= 1 AS allowed FROM b"""
 
 @query("rate_limit", RATE_SQL)
 def _(s, d):
-    requests = read_table(s, d, "events").select((F.col("user_id") % 10).cast("string").alias("client"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.col("event_id").alias("seq"))
+    requests = read_table(s, d, "events").select((F.col("user_id") % 10).cast("string").alias("client"), X.epoch_ms(F.col("ts")).alias("at_ms"), F.col("event_id").alias("seq"))
     return feed.rate_limit(requests, 0.001, 5.0)
 
 

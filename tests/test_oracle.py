@@ -49,6 +49,14 @@ def test_query(spark, duck, data, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["rate_limit"])
+def test_every_millisecond(spark, duck, data, name):
+    """As test_query, but to the last digit, which ``plain`` leaves out of large numbers."""
+    df = kv.queries()[name](spark, data)
+    cur = duck.execute(kv.oracle_sql()[name])
+    assert sorted(map(tuple, df.select(*[c[0] for c in cur.description]).collect())) == sorted(cur.fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__
 
