@@ -162,38 +162,50 @@ def rate_limit(requests: DataFrame, rate: float = 1000.0, burst: float = 2000.0)
     """(client, at_ms, seq, allowed): a token bucket for each client over a stream or table of requests (client, at_ms, seq).
 
     Each client starts with ``burst`` tokens and gains ``rate`` a second. On a stream the bucket is kept as state between batches. On a table a client's requests
-    pass in order through one task, which holds one batch of them at a time.
+    pass in order through one task, which holds one batch of them at a time. Requests without a time come after a client's others (on a stream, after those of their
+    batch) and bring no tokens; those without a client share a bucket.
     """
     import pandas as pd
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    def spend(tokens, last, p):
+    def spend(tokens, last, times):
         out = []
-        for at in p["at_ms"].tolist():
-            tokens = min(burst, tokens + max(0, at - last) * rate / 1000.0)
-            last = max(last, at)
+        for at in times:
+            if at is not None:
+                if last is not None:
+                    tokens = min(burst, tokens + max(0, at - last) * rate / 1000.0)
+                last = at if last is None else max(last, at)
             out.append(tokens >= 1.0)
             tokens -= 1.0 if out[-1] else 0.0
-        return tokens, last, p.assign(allowed=out)[["client", "at_ms", "seq", "allowed"]]
+        return tokens, last, out
 
     def run(batches):
         client = tokens = last = None
-        for p in batches:
-            for name, part in p.groupby("client", sort=False, dropna=False):  # sorted, so a client's rows are together
-                name = None if pd.isna(name) else name
+        for b in batches:
+            runs, at, allowed = pc.run_end_encode(b.column("client")), b.column("at_ms"), []  # sorted, so a client's rows are together
+            times = at.to_pylist() if at.null_count else at.to_numpy().tolist()
+            for name, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
                 if client is None or name != client[0]:
-                    client, tokens, last = (name,), burst, int(part["at_ms"].iloc[0])
-                tokens, last, out = spend(tokens, last, part)
-                yield out
+                    client, tokens, last = (name,), burst, None
+                tokens, last, out = spend(tokens, last, times[len(allowed) : end])
+                allowed += out
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(allowed, pa.bool_())], [*b.schema.names, "allowed"])
 
-    schema, rows = "client string, at_ms bigint, seq bigint, allowed boolean", requests.select("client", "at_ms", "seq")
+    rows = requests.select(F.col("client").cast("string"), F.col("at_ms").cast("bigint"), F.col("seq").cast("bigint"))
     if not requests.isStreaming:
-        return rows.repartition("client").sortWithinPartitions("client", "at_ms", "seq").mapInPandas(run, schema)
+        order = F.asc("client"), F.asc_nulls_last("at_ms"), F.asc_nulls_last("seq")
+        return rows.repartition("client").sortWithinPartitions(*order).mapInArrow(run, "client string, at_ms bigint, seq bigint, allowed boolean")
 
     def step(key, batches, state):
-        p = pd.concat(list(batches)).sort_values(["at_ms", "seq"])
-        tokens, last = state.get if state.exists else (burst, int(p["at_ms"].min()))
-        tokens, last, out = spend(tokens, last, p)
-        state.update((float(tokens), int(last)))
-        yield out
-
-    return rows.groupBy("client").applyInPandasWithState(step, schema, "tokens double, last bigint", "append", "NoTimeout")
+        p = pd.concat(list(batches)).sort_values(["no_at_ms", "at_ms", "no_seq", "seq"])
+        tokens, last = state.get if state.exists else (burst, None)
+        tokens, last, out = spend(tokens, last, [None if no else at for at, no in zip(p["at_ms"].tolist(), p["no_at_ms"].tolist())])
+        state.update((float(tokens), last))
+        yield p.assign(allowed=out)
+
+    # nulls apart, as pandas makes floats of numbers that stand beside them
+    parts = rows.select("client", *(c for n in ("at_ms", "seq") for c in (F.coalesce(n, F.lit(0)).alias(n), F.isnull(n).alias(f"no_{n}"))))
+    schema = "client string, at_ms bigint, no_at_ms boolean, seq bigint, no_seq boolean, allowed boolean"
+    out = parts.groupBy("client").applyInPandasWithState(step, schema, "tokens double, last bigint", "append", "NoTimeout")
+    return out.select("client", *(F.when(~F.col(f"no_{n}"), F.col(n)).alias(n) for n in ("at_ms", "seq")), "allowed")

@@ -57,6 +57,18 @@ def test_every_millisecond(spark, duck, data, name):
     assert sorted(map(tuple, df.select(*[c[0] for c in cur.description]).collect())) == sorted(cur.fetchall())
 
 
+@pytest.mark.parametrize("name", ["rate_limit"])
+def test_odd_times(spark, tmp_path, name):
+    """Nulls, halves of a millisecond, times before 1970, equal times and bursts."""
+    con = duckdb.connect()
+    micros = "CASE WHEN i % 11 = 3 OR i % 7 = 6 THEN NULL ELSE (i // 9) * 700000500 - 5000000000 + i % 5 * 250 END"
+    con.execute(f"COPY (SELECT i AS event_id, make_timestamp(CAST({micros} AS BIGINT)) AS ts, i % 7 - 2 AS user_id FROM range(1500) t(i)) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    cur = con.execute(kv.oracle_sql()[name])
+    got, want = kv.queries()[name](spark, str(tmp_path)).select(*[c[0] for c in cur.description]).collect(), cur.fetchall()
+    assert len(want) == 1500 and sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_entry(spark):
     import __spark_entry__
 

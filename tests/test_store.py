@@ -249,6 +249,20 @@ def test_rate_limit(spark, tmp_path):
     assert {(r.client, r.seq): r.allowed for r in got.collect()} == want
 
 
+def test_rate_limit_of_requests_without_a_time(spark, tmp_path):
+    big = (1 << 60) + 1  # a float would lose its last digit
+    rows = [("a", None, big), ("a", 0, big + 1), ("a", 0, 2), ("a", 1000, None), ("a", 1000, big + 2), ("b", None, 3), ("b", None, 1), ("b", None, None), (None, 5, 6)]
+    requests = frame(spark, rows, "client string, at_ms long, seq long")
+    want = {(*r, ok) for r, ok in zip(rows, [False, True, True, False, True, True, True, False, True])}
+    assert {tuple(r) for r in feed.rate_limit(requests, 1.0, 2.0).collect()} == want
+    requests.coalesce(1).write.parquet(f"{tmp_path}/in")
+    got = feed.to_table(feed.rate_limit(spark.readStream.schema(requests.schema).parquet(f"{tmp_path}/in"), 1.0, 2.0), f"{tmp_path}/cp", f"{tmp_path}/out")
+    assert {tuple(r) for r in got.collect()} == want
+    frame(spark, [("b", 9000, 7), ("b", 10000, 8), ("b", 10000, 9)], "client string, at_ms long, seq long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    got = feed.to_table(feed.rate_limit(spark.readStream.schema(requests.schema).parquet(f"{tmp_path}/in"), 1.0, 2.0), f"{tmp_path}/cp", f"{tmp_path}/out")
+    assert {tuple(r) for r in got.collect()} == want | {("b", 9000, 7, False), ("b", 10000, 8, True), ("b", 10000, 9, False)}
+
+
 def test_window_stream_waits_for_the_watermark(spark, tmp_path):
     rows = spark.range(100).selectExpr("timestamp_seconds(id * 60) ts", "id % 2 k")
     rows.write.parquet(f"{tmp_path}/in")
