@@ -49,7 +49,7 @@ def test_query(spark, duck, data, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["rate_limit"])
+@pytest.mark.parametrize("name", ["epoch_stamps", "rate_limit"])
 def test_every_millisecond(spark, duck, data, name):
     """As test_query, but to the last digit, which ``plain`` leaves out of large numbers."""
     df = kv.queries()[name](spark, data)
@@ -57,7 +57,7 @@ def test_every_millisecond(spark, duck, data, name):
     assert sorted(map(tuple, df.select(*[c[0] for c in cur.description]).collect())) == sorted(cur.fetchall())
 
 
-@pytest.mark.parametrize("name", ["rate_limit"])
+@pytest.mark.parametrize("name", ["epoch_stamps", "rate_limit"])
 def test_odd_times(spark, tmp_path, name):
     """Nulls, halves of a millisecond, times before 1970, equal times and bursts."""
     con = duckdb.connect()
